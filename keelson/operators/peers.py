@@ -24,7 +24,7 @@ def peer_dataset(facts: DataFrame, companies: DataFrame, dates: DataFrame) -> Da
     meta = companies.select("cik", dims.sector_for_sic("sic").alias("sector"), dims.is_bank("sic").alias("bank"))
     out = feats.join(meta, "cik")
     bank_only = {c: F.when(F.col("bank"), F.col(c)) for c in ratios.BANK_FEATURES}
-    return out.withColumns(bank_only).select("cik", "as_of", "sector", "bank", *PEER_FEATURES, *ratios.BANK_FEATURES)
+    return out.withColumns(bank_only).select("cik", "as_of", "period_end", "sector", "bank", *PEER_FEATURES, *ratios.BANK_FEATURES)
 
 
 def peer_groups(sector: Column, bank: Column) -> Column:

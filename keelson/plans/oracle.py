@@ -27,6 +27,8 @@ def with_views(body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in order)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -9,6 +9,7 @@ from keelson.plans import views
 from keelson.plans.oracle import view
 from keelson.plans.pointintime import DEC, register_asof_views, rounded, sql_rounded
 from keelson.plans.registry import query
+from keelson.session import materialise
 
 DATES = ["1998-12-31", "2000-06-30"]
 ALL_FEATS = [f for f in ratios.FEATURES if f != "filing_lag_days"]
@@ -21,7 +22,7 @@ def table_dates(spark):
 view("asofs_grid", " UNION ALL ".join(f"SELECT cik, DATE '{d}' AS as_of FROM companies_p" for d in DATES))
 register_asof_views("grid")
 _BANK = ", ".join(f"CASE WHEN c.bank THEN r.{f} END AS {f}" for f in ratios.BANK_FEATURES)
-view("peers_p", f"""SELECT r.cik, r.as_of, c.sector, c.bank, {', '.join('r.' + f for f in ALL_FEATS)}, {_BANK}
+view("peers_p", f"""SELECT r.cik, r.as_of, r.period_end, c.sector, c.bank, {', '.join('r.' + f for f in ALL_FEATS)}, {_BANK}
 FROM ratios_grid r JOIN companies_s c USING (cik) WHERE date_diff('day', r.period_end, r.as_of) <= 500""")
 _LONG = " UNION ALL ".join(f"SELECT cik, as_of, sector, bank, '{f}' AS feature, {f} AS v FROM peers_p"
                            for f in ALL_FEATS + ratios.BANK_FEATURES)
@@ -44,7 +45,7 @@ def tables(spark, sf):
     return peers.peer_tables(dataset(spark, sf), min_n=5)
 
 
-@query("peer_dataset", f"SELECT cik, as_of, sector, bank, {sql_rounded(ALL_FEATS + ratios.BANK_FEATURES)} FROM peers_p")
+@query("peer_dataset", f"SELECT cik, as_of, period_end, sector, bank, {sql_rounded(ALL_FEATS + ratios.BANK_FEATURES)} FROM peers_p")
 def peer_dataset(spark, sf):
     cols = ALL_FEATS + ratios.BANK_FEATURES
     return rounded(dataset(spark, sf).drop("filing_lag_days"), cols)
@@ -81,7 +82,7 @@ LEFT JOIN peer_tables_p a ON a.as_of = l.as_of AND a."group" = 'ALL' AND a.featu
 def with_percentiles(spark, sf):
     """Every company feature against its own group's table at the same date, else the market's."""
     from keelson.operators import ranking
-    feats = dataset(spark, sf)
+    feats = materialise(dataset(spark, sf))
     long = ranking.melt(feats, ["cik", "as_of", "sector", "bank"], ALL_FEATS + ratios.BANK_FEATURES, value="value")
     vals = long.select("cik", "as_of", F.col("as_of").alias("table_date"),
                        F.when(F.col("bank"), "BANKS").otherwise(F.col("sector")).alias("own_group"), "feature", "value")
@@ -101,7 +102,7 @@ def peer_percentiles(spark, sf):
 FROM peers_long l JOIN peer_tables_p t ON t.as_of = l.as_of AND t."group" = l.sector AND t.feature = l.feature""")
 def company_versus_group(spark, sf):
     from keelson.operators import ranking
-    feats = dataset(spark, sf)
+    feats = materialise(dataset(spark, sf))
     long = ranking.melt(feats, ["cik", "as_of", "sector"], ALL_FEATS + ratios.BANK_FEATURES, value="value")
     t = peers.peer_tables(feats, min_n=5)
     at = lambda i: F.get("quantiles", F.lit(i))

@@ -49,3 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = os.path.join(tempfile.mkdtemp(prefix="keelson-"), "checkpoints")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialise(df):
+    """Compute a frame that several branches read once, and cut its lineage through the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
