@@ -90,10 +90,8 @@ def precision_at(df: DataFrame, keys: list[str], score: str, label: str, row_id:
 def recall_at_positives(df: DataFrame, keys: list[str], score: str, label: str, row_id: str) -> DataFrame:
     """Share of the positives found in the top k, k being the number of positives."""
     pos = df.groupBy(*keys).agg(F.sum(label).alias("positives"))
-    r = ranked(df, keys, score, label)
-    # positives at whole score groups plus the id-ordered share of the group the cut falls into
-    scored = top_k(df.join(pos, keys), [*keys, "positives"], score, row_id, F.col("positives"))
-    return scored.groupBy(*keys, "positives").agg((F.sum(label) / F.max("positives")).alias("recall")) if r is not None else None
+    top = top_k(df.join(pos, keys), [*keys, "positives"], score, row_id, F.col("positives"))
+    return top.groupBy(*keys, "positives").agg((F.sum(label) / F.max("positives")).alias("recall"))
 
 
 def calibration_table(df: DataFrame, keys: list[str], prob: str, label: str, bins: int = 10) -> DataFrame:

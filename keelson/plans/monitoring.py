@@ -26,13 +26,18 @@ def log(spark, sf):
 view("log_p", """SELECT user_id AS company, event_type AS model, ts AS logged_at, value, CAST(props->>'$.k' AS DOUBLE) AS k, CAST(props->>'$.k' AS DOUBLE)
   / (CAST(props->>'$.k' AS DOUBLE) + value + 1.0::DOUBLE) AS prediction, CAST(event_id % 900 AS INT) AS age, ts < TIMESTAMP '2024-01-16' AS ref FROM events""")
 view("loglong_p", "SELECT model, 'value' AS feature, value AS v, ref FROM log_p UNION ALL SELECT model, 'k', k, ref FROM log_p UNION ALL SELECT model, 'prediction', prediction, ref FROM log_p")
-view("hist_p", """SELECT h.model, h.feature, any_value(edges) AS edges, list_transform(range(0, len(any_value(edges)) + 1), lambda b: len(list_filter(list(len(list_filter(edges, lambda e: e <= v))),
-  lambda x: x = b)) / count(*)::DOUBLE) AS proportions FROM loglong_p l JOIN (SELECT model, feature, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges
-  FROM loglong_p WHERE ref GROUP BY 1, 2 HAVING count(v) >= 50) h USING (model, feature) WHERE l.ref GROUP BY h.model, h.feature""")
-view("psi_p", """SELECT model, feature, live_n, list_sum(list_transform(range(0, len(edges) + 1), lambda b: (greatest(len(list_filter(bins, lambda x: x = b)) / live_n::DOUBLE, 1e-4)
-    - greatest(proportions[b + 1], 1e-4)) * ln(greatest(len(list_filter(bins, lambda x: x = b)) / live_n::DOUBLE, 1e-4) / greatest(proportions[b + 1], 1e-4)))) AS psi
-FROM (SELECT h.model, h.feature, any_value(h.edges) AS edges, any_value(h.proportions) AS proportions, count(*) AS live_n, list(len(list_filter(h.edges, lambda e: e <= v))) AS bins
-  FROM loglong_p l JOIN hist_p h USING (model, feature) WHERE NOT l.ref GROUP BY h.model, h.feature)""")
+view("edges_p", """SELECT model, feature, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges
+  FROM loglong_p WHERE ref GROUP BY 1, 2 HAVING count(v) >= 50""")
+view("bins_p", """SELECT model, feature, ref, bin, count(*) AS c FROM (SELECT l.model, l.feature, l.ref, len(list_filter(e.edges, lambda x: x <= l.v)) AS bin
+  FROM loglong_p l JOIN edges_p e ON e.model = l.model AND e.feature = l.feature) GROUP BY ALL""")
+view("shares_p", """SELECT e.model, e.feature, b.bin, coalesce(r.c, 0) / (SELECT sum(c) FROM bins_p x WHERE x.model = e.model AND x.feature = e.feature AND x.ref)::DOUBLE AS expected,
+  coalesce(v.c, 0) / (SELECT sum(c) FROM bins_p x WHERE x.model = e.model AND x.feature = e.feature AND NOT x.ref)::DOUBLE AS actual,
+  (SELECT sum(c) FROM bins_p x WHERE x.model = e.model AND x.feature = e.feature AND NOT x.ref) AS live_n
+FROM edges_p e JOIN (SELECT unnest(range(0, 10)) AS bin) b ON b.bin <= len(e.edges) LEFT JOIN (SELECT * FROM bins_p WHERE ref) r ON r.model = e.model AND r.feature = e.feature AND r.bin = b.bin
+LEFT JOIN (SELECT * FROM bins_p WHERE NOT ref) v ON v.model = e.model AND v.feature = e.feature AND v.bin = b.bin""")
+view("hist_p", """SELECT s.model, s.feature, e.edges, list(expected ORDER BY bin) AS proportions FROM shares_p s JOIN edges_p e ON e.model = s.model AND e.feature = s.feature GROUP BY ALL""")
+view("psi_p", """SELECT model, feature, CAST(max(live_n) AS BIGINT) AS live_n, sum((greatest(actual, 1e-4) - greatest(expected, 1e-4)) * ln(greatest(actual, 1e-4) / greatest(expected, 1e-4))) AS psi
+FROM shares_p GROUP BY 1, 2""")
 
 
 def parts(spark, sf):
