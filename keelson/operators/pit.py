@@ -58,12 +58,12 @@ def preference(rank: Column, filed: Column) -> Column:
             + F.datediff(filed, F.lit("1900-01-01").cast("date")).cast("long"))
 
 
-def with_years(facts: DataFrame, last_year: Column, reach_days: Column | None = None) -> DataFrame:
-    """Repeat a fact for each as-of year it can matter in: from its filing to its reach (or to the last as-of)."""
-    end = last_year if reach_days is None else F.least(
-        last_year, F.coalesce(F.year(F.date_add(F.col("end"), reach_days)), last_year))
-    years = F.when(F.year("filed") <= end, F.sequence(F.year("filed"), end))
-    return facts.withColumn("yr", F.explode(years))
+def with_years(facts: DataFrame, years: Column, reach_days: Column | None = None) -> DataFrame:
+    """Repeat a fact for each as-of year it can matter in: from its filing on, up to its reach where one is given."""
+    last = F.lit(9999) if reach_days is None else F.coalesce(F.year(F.date_add(F.col("end"), reach_days)), F.lit(9999))
+    return (facts.withColumns({"_years": years, "_last": last})
+            .withColumn("yr", F.explode(F.filter("_years", lambda y: (y >= F.year("filed")) & (y <= F.col("_last")))))
+            .drop("_years", "_last"))
 
 
 def asof_dates(asofs: DataFrame) -> DataFrame:
@@ -71,9 +71,9 @@ def asof_dates(asofs: DataFrame) -> DataFrame:
     return asofs.select("cik", "as_of").distinct().withColumn("yr", F.year("as_of"))
 
 
-def last_year_of(asofs: DataFrame) -> Column:
-    """Newest as-of year as a scalar subquery (one number, no cross join)."""
-    return asofs.agg(F.max(F.year("as_of"))).scalar()
+def years_of(asofs: DataFrame) -> Column:
+    """Distinct as-of years as one array (scalar subquery: a handful of numbers, no join)."""
+    return asofs.agg(F.array_sort(F.collect_set(F.year("as_of")))).scalar()
 
 
 def resolve(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -94,7 +94,7 @@ def filed_of(pref: Column) -> Column:
 def known_as_of(facts: DataFrame, asofs: DataFrame) -> DataFrame:
     """Facts public at each (cik, as_of), one value per (item, start, end)."""
     probes = asof_dates(asofs)
-    known = spread(with_years(versions(sane_dates(facts)), last_year_of(asofs)), "cik", "yr")
+    known = spread(with_years(versions(sane_dates(facts)), years_of(asofs)), "cik", "yr")
     pairs = known.join(spread(probes, "cik", "yr"), ["cik", "yr"]).where(F.col("filed") <= F.col("as_of"))
     return (resolve(pairs, "cik", "yr", "as_of")
             .select("cik", "as_of", "item", "start", "end", rank_of(F.col("pref")).alias("rank"),

@@ -23,11 +23,11 @@ FLOAT_TOLERANCE = 400
 WHOLE_HISTORY = ["Revenue", "OperatingCashFlow", "CapEx"]
 
 
-def period_ends(facts: DataFrame, probes: DataFrame, last_year, max_age: int | None) -> DataFrame:
+def period_ends(facts: DataFrame, probes: DataFrame, years, max_age: int | None) -> DataFrame:
     """Newest TotalAssets end on or before each as-of date among the facts filed by then."""
     ta = (facts.where(F.col("item") == "TotalAssets").groupBy("cik", "end").agg(F.min("filed").alias("filed")))
     reach = None if max_age is None else F.lit(max_age)
-    hits = (pit.with_years(ta, last_year, reach).join(probes, ["cik", "yr"])
+    hits = (pit.with_years(ta, years, reach).join(probes, ["cik", "yr"])
             .where((F.col("filed") <= F.col("as_of")) & (F.col("end") <= F.col("as_of"))))
     out = hits.groupBy(*KEYS).agg(F.max("end").alias("period_end"))
     return out if max_age is None else out.where(F.datediff("as_of", "period_end") <= max_age)
@@ -40,12 +40,12 @@ def snapshot(facts: DataFrame, asofs: DataFrame, max_age: int | None = None) ->
     """
     facts = pit.sane_dates(facts)
     probes = pit.asof_dates(asofs)
-    last_year = pit.last_year_of(asofs)
-    located = period_ends(facts, probes, last_year, max_age)
+    years = pit.years_of(asofs)
+    located = period_ends(facts, probes, years, max_age)
 
     whole = F.col("item").isin(WHOLE_HISTORY)
     reach = None if max_age is None else F.when(~whole, F.lit(REACH + max_age))
-    known = pit.spread(pit.with_years(pit.versions(facts), last_year, reach), "cik", "yr")
+    known = pit.spread(pit.with_years(pit.versions(facts), years, reach), "cik", "yr")
     stock = F.col("item").isin(dims.STOCK_ITEMS)
     pe = F.col("period_end")
     in_reach = F.when(whole, F.lit(True)).when(

@@ -32,7 +32,8 @@ def pages(spark, sf):
                "form": F.when(F.col("accn").cast("bigint") % 29 == 0, "4").otherwise(F.col("form")), "items": F.nullif("items", F.lit("")), "primaryDocument": F.col("primary_document")}
     rows = f.select("cik", "yr", F.struct(*[v.alias(k) for k, v in text_of.items()]).alias("r"))
     g = rows.groupBy("cik", "yr").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    block = F.struct(*[F.transform("rows", lambda r, k=k: r[k]).alias(k) for k in sfil.FIELDS])
+    field = lambda k: F.transform("rows", lambda r: r[k]).alias(k)
+    block = F.struct(*[field(k) for k in sfil.FIELDS])
     return g.select("cik", "yr", block.alias("block"))
 
 
