@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])      # workers need no copy of this package
 SUBSAMPLE = 256
 FINANCIAL = ["bn_dsri", "bn_gmi", "bn_aqi", "bn_sgi", "bn_depi", "bn_sgai", "bn_lvgi", "bn_tata", "revenue_yoy", "d_net_margin", "d_current_ratio"]
 
@@ -34,14 +37,14 @@ def fit_forest(train: DataFrame, row_id: str, features: list[str], trees: int =
     The model is trees x at most 2 x SUBSAMPLE nodes, a fixed bound."""
     n = max(1, train.count())
     per_row = min(float(trees), trees * SUBSAMPLE / n)
-    h = lambda *parts: F.pmod(F.xxhash64(row_id, *[F.lit(p) for p in parts], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    h = lambda part: F.pmod(F.xxhash64(row_id, F.lit(part), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     if per_row >= 1:        # small data: every tree takes each row with the same chance
         u = F.pmod(F.xxhash64(F.col(row_id), F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
         pool = train.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(u < min(1.0, SUBSAMPLE / n))
     else:                   # large data: a row is drawn at most once, into one tree
         pool = train.where(h("in") < per_row).withColumn("tree", F.floor(h("tree") * trees).cast("int"))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key, pdf):
         rng = np.random.default_rng(seed + int(key[0]))
         x = pdf[features].to_numpy(dtype=float)
         return pd.DataFrame({"tree": [int(key[0])], "nodes": [json.dumps(_grow(x, 0, math.ceil(math.log2(max(2, len(x)))), rng))],

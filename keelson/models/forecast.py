@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from keelson.operators.ranking import quantiles
 from keelson.operators.series import regular_run
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])      # workers need no copy of this package
 LAGS = 8
 FEATURES = [f"lag_{k}" for k in range(LAGS)] + ["yoy_ratio", "growth_4q", "volatility", "quarter", "horizon", "log_scale"]
 
@@ -95,11 +98,10 @@ def _holt_winters(y: np.ndarray, horizon: int = 4, season: int = 4) -> list[floa
     return out
 
 
-@F.pandas_udf("array<double>")
-def damped_forecast(history: pd.Series) -> pd.Series:
-    return history.map(lambda h: _holt_winters(np.asarray(h, dtype=float)))
-
-
 def damped_baseline(quarters: DataFrame) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def damped_forecast(history: pd.Series) -> pd.Series:
+        return history.map(lambda h: _holt_winters(np.asarray(h, dtype=float)))
+
     h = histories(quarters).withColumn("fc", damped_forecast("history"))
     return h.select("cik", "origin", F.posexplode("fc").alias("p", "damped")).select("cik", "origin", (F.col("p") + 1).alias("horizon"), "damped")

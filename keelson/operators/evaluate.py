@@ -52,13 +52,13 @@ def binary_metrics(df: DataFrame, keys: list[str], prob: str, label: str, thresh
 
 def multiclass_metrics(df: DataFrame, truth: str, pred: str, labels: list[str]) -> DataFrame:
     """One row per label plus accuracy and macro F1 over the listed labels, from the confusion counts."""
-    confusion = df.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
+    confusion = df.groupBy(F.col(truth).alias("_t"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
     lab = F.array(*[F.lit(x) for x in labels])
-    per = (confusion.select("n", truth, pred, F.explode(lab).alias("label")).groupBy("label").agg(
-        F.sum(F.when((F.col(truth) == F.col("label")) & (F.col(pred) == F.col("label")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col(pred) == F.col("label"), F.col("n")).otherwise(0)).alias("predicted"),
-        F.sum(F.when(F.col(truth) == F.col("label"), F.col("n")).otherwise(0)).alias("actual"),
-        F.sum(F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("total")))
+    t, p, one = F.col("_t") == F.col("label"), F.col("_p") == F.col("label"), F.col("n")
+    total = lambda c: F.sum(F.when(c, one).otherwise(0))
+    per = (confusion.select("n", "_t", "_p", F.explode(lab).alias("label")).groupBy("label").agg(
+        total(t & p).alias("tp"), total(p).alias("predicted"), total(t).alias("actual"),
+        total(F.col("_t") == F.col("_p")).alias("right"), F.sum("n").alias("total")))
     z = lambda a, b: F.coalesce(safe_div(a * 1.0, b + 0.0), F.lit(0.0))
     per = per.withColumns({"precision": z(F.col("tp"), F.col("predicted")), "recall": z(F.col("tp"), F.col("actual")),
                            "f1": z(2 * F.col("tp"), F.col("predicted") + F.col("actual"))})

@@ -14,14 +14,15 @@ from keelson.plans import text as pt
 from keelson.plans import views
 from keelson.plans.oracle import view
 from keelson.plans.registry import query
-from keelson.session import materialise
+from keelson.session import materialise, shared
 
 YEARS = {"train": (1995, 1998), "validation": (1999, 1999), "test": (2000, 2001)}
 MODEL_FEATURES = [f for f in pp.STORED if not f.startswith("bn_")]
 
 
 def dataset(spark, sf):
-    return materialise(pp.run_distress(spark, sf))
+    """The stored distress dataset."""
+    return shared(spark, f"distress:{sf}", lambda: materialise(pp.run_distress(spark, sf)))
 
 
 def split_dataset(spark, sf):
@@ -55,13 +56,13 @@ _SEG_OK = " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in segments.FEATURES)
 @query("company_cross_section", f"""SELECT cik, accn, as_of FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY as_of DESC, accn DESC) AS rn FROM distress_p
 WHERE year = 2000) WHERE rn = 1 AND {_SEG_OK} >= 6""")
 def company_cross_section(spark, sf):
-    return splits.cross_section(pp.run_distress(spark, sf), 2000, segments.FEATURES).select("cik", "accn", "as_of")
+    return splits.cross_section(dataset(spark, sf), 2000, segments.FEATURES).select("cik", "accn", "as_of")
 
 
 @query("rows_with_enough_features", "SELECT cik, accn FROM distress_p WHERE "
        + " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in anomaly.FINANCIAL) + " >= 6")
 def enough_features(spark, sf):
-    return num.min_present(pp.run_distress(spark, sf), anomaly.FINANCIAL, 6).select("cik", "accn")
+    return num.min_present(dataset(spark, sf), anomaly.FINANCIAL, 6).select("cik", "accn")
 
 
 # ------------------------------------------------------------------ fitted preprocessing
@@ -87,7 +88,15 @@ def winsorised(spark, sf):
 
 # ------------------------------------------------------------------ distress model
 def fitted_distress(spark, sf):
-    ready = distress.prepared(split_dataset(spark, sf), MODEL_FEATURES)
+    return shared(spark, f"classifiers:{sf}", lambda: fit_distress(spark, sf))
+
+
+def prepared(spark, sf):
+    return shared(spark, f"prepared:{sf}", lambda: distress.prepared(split_dataset(spark, sf), MODEL_FEATURES))
+
+
+def fit_distress(spark, sf):
+    ready = prepared(spark, sf)
     grid = {"logistic_regression": [{"reg": 0.01}, {"reg": 0.1}], "random_forest": [{"trees": 20}], "boosted_trees": [{"rounds": 8, "depth": 3}]}
     models, table = distress.fit_candidates(ready, MODEL_FEATURES, grid)
     return ready, models, table
@@ -111,8 +120,7 @@ def distress_calibration(spark, sf):
 
 
 def linear_model(spark, sf):
-    ready = distress.prepared(split_dataset(spark, sf), MODEL_FEATURES)
-    models, _ = distress.fit_candidates(ready, MODEL_FEATURES, {"logistic_regression": [{"reg": 0.01}]})
+    ready, models, _ = fitted_distress(spark, sf)
     m = models["logistic_regression#0"]
     return m, m.transform(ready.where("split = 'test'"))
 
@@ -131,7 +139,7 @@ def feature_importance(spark, sf):
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, sf):
-    return distress.ablation(distress.prepared(split_dataset(spark, sf), MODEL_FEATURES), MODEL_FEATURES)
+    return distress.ablation(prepared(spark, sf), MODEL_FEATURES)
 
 
 # ------------------------------------------------------------------ anomalies
@@ -203,6 +211,10 @@ def cross_sections(spark, sf):
 
 
 def segmented(spark, sf):
+    return shared(spark, f"segments:{sf}", lambda: fit_segments(spark, sf))
+
+
+def fit_segments(spark, sf):
     now, before = cross_sections(spark, sf)
     z = materialise(segments.vectorise(prepare.rank_normal(now, "cik", segments.FEATURES), segments.FEATURES))
     rows, km = segments.choose_k(z)
@@ -263,7 +275,7 @@ _SEGVIEW = "CASE WHEN net_margin < 0 THEN 'loss' WHEN current_ratio < 1 THEN 'ti
 @query("rule_segment_profile", f"""SELECT {_SEGVIEW} AS segment, count(*) AS companies, round(avg(label), 6) AS label_rate, round(quantile_cont(net_margin, 0.5), 5) AS net_margin,
   round(quantile_cont(current_ratio, 0.5), 5) AS current_ratio FROM distress_p GROUP BY 1""")
 def rule_segment_profile(spark, sf):
-    d = pp.rounded(pp.run_distress(spark, sf), ["net_margin", "current_ratio"]).withColumn("segment", F.expr(_SEGVIEW))
+    d = pp.rounded(dataset(spark, sf), ["net_margin", "current_ratio"]).withColumn("segment", F.expr(_SEGVIEW))
     p = segments.segment_profile(materialise(d.select("segment", "label", "net_margin", "current_ratio")), ["net_margin", "current_ratio"])
     return p.select("segment", "companies", F.round("label_rate", 6).alias("label_rate"), F.round("net_margin", 5).alias("net_margin"), F.round("current_ratio", 5).alias("current_ratio"))
 
@@ -274,7 +286,7 @@ def restated_quarters(spark, sf, item="Revenue"):
     co = views.companies(spark, sf).where("NOT financial").select("cik", F.lit("2100-01-01").cast("date").alias("as_of"))
     facts = views.facts(spark, sf).where(F.col("item") == item)
     known = pit.known_as_of(facts, co)
-    return materialise(series.quarterly_series(known, ["cik", "as_of"]).select("cik", "end", "val"))
+    return series.quarterly_series(known, ["cik", "as_of"]).select("cik", "end", "val")
 
 
 view("asofs_end", "SELECT cik, DATE '2100-01-01' AS as_of FROM companies_s WHERE NOT financial")
@@ -337,7 +349,7 @@ def conformal_forecasts(spark, sf):
 @query("forecast_evaluation")
 def forecast_evaluation(spark, sf):
     """Errors by method and the coverage of the 80% intervals on the test split."""
-    q = restated_quarters(spark, sf)
+    q = materialise(restated_quarters(spark, sf))
     f = materialise(forecasts(spark, sf).join(forecast.damped_baseline(q), ["cik", "origin", "horizon"], "left"))
     out = None
     for name, c in (("naive", "last"), ("seasonal_naive", "seasonal"), ("boosted", "p50"), ("damped_trend", "damped")):

@@ -9,7 +9,7 @@ from keelson.plans import views
 from keelson.plans.oracle import view
 from keelson.plans.pointintime import DEC, register_asof_views, rounded, sql_rounded
 from keelson.plans.registry import query
-from keelson.session import materialise
+from keelson.session import materialise, shared
 
 DATES = ["1998-12-31", "2000-06-30"]
 ALL_FEATS = [f for f in ratios.FEATURES if f != "filing_lag_days"]
@@ -41,6 +41,15 @@ def dataset(spark, sf):
     return peers.peer_dataset(views.facts(spark, sf), views.companies(spark, sf), table_dates(spark))
 
 
+def stored_dataset(spark, sf):
+    """The peer dataset as a stored table, for the queries that start from it."""
+    return shared(spark, f"peers:{sf}", lambda: materialise(dataset(spark, sf)))
+
+
+def stored_tables(spark, sf):
+    return shared(spark, f"peer_tables:{sf}", lambda: materialise(peers.peer_tables(stored_dataset(spark, sf), min_n=5)))
+
+
 def tables(spark, sf):
     return peers.peer_tables(dataset(spark, sf), min_n=5)
 
@@ -82,11 +91,11 @@ LEFT JOIN peer_tables_p a ON a.as_of = l.as_of AND a."group" = 'ALL' AND a.featu
 def with_percentiles(spark, sf):
     """Every company feature against its own group's table at the same date, else the market's."""
     from keelson.operators import ranking
-    feats = materialise(dataset(spark, sf))
+    feats = stored_dataset(spark, sf)
     long = ranking.melt(feats, ["cik", "as_of", "sector", "bank"], ALL_FEATS + ratios.BANK_FEATURES, value="value")
     vals = long.select("cik", "as_of", F.col("as_of").alias("table_date"),
                        F.when(F.col("bank"), "BANKS").otherwise(F.col("sector")).alias("own_group"), "feature", "value")
-    return peers.percentiles(vals, peers.peer_tables(feats, min_n=5))
+    return peers.percentiles(vals, stored_tables(spark, sf))
 
 
 @query("peer_percentiles", f"""SELECT cik, as_of, feature, round(value, {DEC}) AS value, peer_group, peer_n,
@@ -102,9 +111,9 @@ def peer_percentiles(spark, sf):
 FROM peers_long l JOIN peer_tables_p t ON t.as_of = l.as_of AND t."group" = l.sector AND t.feature = l.feature""")
 def company_versus_group(spark, sf):
     from keelson.operators import ranking
-    feats = materialise(dataset(spark, sf))
+    feats = stored_dataset(spark, sf)
     long = ranking.melt(feats, ["cik", "as_of", "sector"], ALL_FEATS + ratios.BANK_FEATURES, value="value")
-    t = peers.peer_tables(feats, min_n=5)
+    t = stored_tables(spark, sf)
     at = lambda i: F.get("quantiles", F.lit(i))
     j = long.withColumnRenamed("sector", "group").join(t, ["as_of", "group", "feature"])
     return j.select("cik", "as_of", "feature", F.round("value", DEC).alias("value"), "group", "n", at(25).alias("p25"),

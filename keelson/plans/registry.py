@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keelson.plans.oracle import with_views
 from keelson.session import prepare
 
-MODULES = ["pointintime", "peers", "market", "text", "reviews", "scoring", "serving", "monitoring", "intake", "modelling"]
+MODULES = ["pointintime", "peers", "market", "text", "reviews", "scoring", "serving", "monitoring", "intake", "modelling", "streams"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}

@@ -12,7 +12,7 @@ from keelson.functions import dims, text
 from keelson.functions.numeric import clip
 from keelson.operators import events as ev
 from keelson.operators import factors as fx
-from keelson.operators import market, news, peers, pit, ratios, signals
+from keelson.operators import market, news, peers, ratios, signals
 from keelson.operators import reviews as rv
 from keelson.operators.snapshot import snapshot
 from keelson.plans import market as pm
@@ -23,7 +23,7 @@ from keelson.plans import views
 from keelson.plans.oracle import view
 from keelson.plans.pointintime import AS_OF, register_asof_views
 from keelson.plans.registry import query
-from keelson.session import materialise
+from keelson.session import materialise, shared
 
 _D = f"DATE '{AS_OF}'"
 
@@ -104,8 +104,8 @@ register_financial("now", f"SELECT * FROM peers_p WHERE as_of = {_D}", _PICK)
 
 
 def financial(spark, sf):
-    feats = materialise(pp.dataset(spark, sf))
-    return fx.financial_factors(feats.where(F.col("as_of") == AS_OF), materialise(peers.peer_tables(feats, min_n=5)))
+    feats = pp.stored_dataset(spark, sf)
+    return fx.financial_factors(feats.where(F.col("as_of") == AS_OF), pp.stored_tables(spark, sf))
 
 
 @query("financial_factors", "SELECT cik, as_of, key, weight, round(value, 6) AS value, score, pct, peer_group FROM fin_now")
@@ -173,12 +173,16 @@ def event_penalties(spark, sf):
 
 # ------------------------------------------------------------------ pillars and composite
 def assemble(spark, sf):
+    return shared(spark, f"scores:{sf}", lambda: build_scores(spark, sf))
+
+
+def build_scores(spark, sf):
     """factors, pillars, health of every company at the scoring date."""
-    feats = materialise(pp.dataset(spark, sf))
+    feats = pp.stored_dataset(spark, sf)
     now = feats.where(F.col("as_of") == AS_OF)
     stats, emp, pen = company_news(spark, sf), employee(spark, sf), penalty(spark, sf)
     ld = load(spark, sf)
-    facs = (fx.financial_factors(now, materialise(peers.peer_tables(feats, min_n=5))).unionByName(fx.market_factors(company_market(spark, sf)))
+    facs = (fx.financial_factors(now, pp.stored_tables(spark, sf)).unionByName(fx.market_factors(company_market(spark, sf)))
             .unionByName(fx.news_factors(stats)).unionByName(fx.workforce_factors(emp, ld)).unionByName(fx.events_factor(pen)))
     base = views.companies(spark, sf).select("cik", lit_date().alias("as_of"))
     facs = materialise(facs)
@@ -327,7 +331,7 @@ def event_signals(spark, sf):
 @query("warning_signals", """SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1
   WHEN 'MEDIUM' THEN 2 ELSE 3 END, date DESC NULLS LAST, code) - 1 AS position, code, severity, date FROM signals_p""")
 def warning_signals(spark, sf):
-    feats = materialise(pp.dataset(spark, sf))
+    feats = pp.stored_dataset(spark, sf)
     s = all_signals(spark, sf, feats, load(spark, sf))
     return s.select("cik", F.col("position").cast("bigint").alias("position"), "code", "severity", "date")
 
@@ -335,7 +339,7 @@ def warning_signals(spark, sf):
 @query("statement_anomaly_events", f"""SELECT s.cik, coalesce(max(f.filed) FILTER (f.filed <= {_D}), {_D}) AS date, 'STATEMENT_ANOMALY' AS type, 10.0::DOUBLE AS penalty
 FROM sig_in s LEFT JOIN (SELECT * FROM filings_p WHERE regexp_matches(form, '^10-[KQ]')) f USING (cik) WHERE s.statement_anomaly >= 0.95 GROUP BY s.cik""")
 def statement_anomaly_events(spark, sf):
-    feats = pp.dataset(spark, sf).where(F.col("as_of") == AS_OF)
+    feats = pp.stored_dataset(spark, sf).where(F.col("as_of") == AS_OF)
     scores = feats.withColumn("statement_anomaly", F.when(F.col("beneish_m") > -1.0, 0.97).otherwise(0.5))
     return signals.statement_anomaly_events(scores, views.filings(spark, sf)).select("cik", "date", "type", "penalty")
 
@@ -360,7 +364,7 @@ def backfill(spark, sf):
     snap = snapshot(views.facts(spark, sf), asofs)
     feats = ratios.bank_features(ratios.compute_features(ratios.without_filing(snap))).join(
         views.companies(spark, sf).select("cik", "sector", "bank"), "cik")
-    facs = fx.financial_factors(materialise(feats), materialise(pp.tables(spark, sf)))
+    facs = fx.financial_factors(materialise(feats), pp.stored_tables(spark, sf))
     have = F.col("score").isNotNull()
     fin = facs.groupBy("cik", "as_of").agg(F.bround(F.sum(F.when(have, F.col("weight") * F.col("score")))
                                                     / F.sum(F.when(have, F.col("weight"))), 2).alias("financial"))
@@ -427,7 +431,7 @@ def report_summaries(spark, sf):
   WHEN fmt = 'times' THEN printf('%.2fx', value) WHEN fmt = 'nine' THEN printf('%.0f/9', value) ELSE printf('%.2f', value) END AS display
 FROM (SELECT * REPLACE (value * 100037e-5 AS value) FROM fin_spec_now)""")
 def display_values(spark, sf):
-    feats = pp.dataset(spark, sf).where(F.col("as_of") == AS_OF).withColumn("table_date", F.col("as_of"))
+    feats = pp.stored_dataset(spark, sf).where(F.col("as_of") == AS_OF).withColumn("table_date", F.col("as_of"))
     v = fx.factor_values(feats)
     return v.select("cik", "key", fx.display_value(F.col("value") * 100037e-5, F.col("fmt")).alias("display"))
 

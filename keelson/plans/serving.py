@@ -149,16 +149,26 @@ view("points_p", """SELECT company_id, as_of, generated_at, score, source FROM (
   generated_at DESC, score DESC) AS rn FROM (SELECT * FROM points_old UNION ALL SELECT * FROM points_new)) WHERE rn = 1""")
 
 
-def points(spark, sf):
-    r = reports(spark, sf)
+def incoming_points(r):
+    """New LIVE points and partial-score BACKFILL points of a report table."""
     live = r.where("report_id % 3 = 0").selectExpr("company_id", "as_of", "generated_at", "health_score as score", "'LIVE' as source")
     slot = F.date_add(F.lit("1995-01-01").cast("date"), (90 * F.floor(F.datediff("as_of", F.lit("1995-01-01")) / 90)).cast("int"))
-    hist = (r.where("report_id % 3 = 1").withColumn("as_of", slot)
-            .withColumn("partial_score", 2.0 * F.col("health_score") / 3))
-    back = sv.backfill_points(hist).select("company_id", "as_of", "generated_at", "score", "source")
-    old = r.where("report_id % 3 = 2").selectExpr("company_id", "as_of", "generated_at", "health_score as score",
-                                                  "if(report_id % 2 = 0, 'LIVE', 'BACKFILL') as source")
-    return sv.upsert_points(old, live.unionByName(back))
+    hist = (r.where("report_id % 3 = 1").withColumn("as_of", slot).withColumn("partial_score", 2.0 * F.col("health_score") / 3))
+    return live.unionByName(sv.backfill_points(hist).select("company_id", "as_of", "generated_at", "score", "source"))
+
+
+def stored_points(r):
+    return r.where("report_id % 3 = 2").selectExpr("company_id", "as_of", "generated_at", "health_score as score",
+                                                   "if(report_id % 2 = 0, 'LIVE', 'BACKFILL') as source")
+
+
+def points_incoming(r):
+    return incoming_points(r).unionByName(stored_points(r))
+
+
+def points(spark, sf):
+    r = reports(spark, sf)
+    return sv.upsert_points(stored_points(r), incoming_points(r))
 
 
 @query("score_points_upserted", "SELECT * FROM points_p")

@@ -55,3 +55,17 @@ def materialise(df):
     """Compute a frame that several branches read once, and cut its lineage through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_SHARED: dict[tuple[str, str], object] = {}
+
+
+def shared(spark: SparkSession, key: str, build):
+    """Result of build(), made once per application and reused by later queries (tables are checkpointed by the builder).
+
+    For intermediate tables many queries start from, such as the feature dataset; an output a query is measured on is not shared.
+    """
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _SHARED:
+        _SHARED[slot] = build()
+    return _SHARED[slot]
