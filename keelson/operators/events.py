@@ -89,6 +89,22 @@ def exclude_prior(asofs: DataFrame, events: DataFrame, event: str, days: int) ->
     return asofs.join(hit, ["cik", "as_of"], "left_anti")
 
 
+def event_summary(asofs: DataFrame, events: DataFrame, label: str = "BANKRUPTCY", horizon: int = 365, prior_days: int = 730) -> DataFrame:
+    """Event features, interval label and prior-event mark of every as-of date from one window join."""
+    base = asofs.select("cik", "as_of").distinct()
+    daily = per_day(events.where(F.col("event").isin([label, *dims.EVENT_FEATURES])), "event")
+    hits = window_join(base, daily, prior_days, horizon).withColumn("age", F.datediff("as_of", "filed"))
+    is_label = F.col("event") == label
+    weight = F.when(F.col("age").between(0, WINDOW_DAYS), F.col("n") * F.exp(-F.col("age") / F.lit(DECAY_DAYS)))
+    feats = [F.sum(F.when(F.col("event") == e, weight)).alias(c) for e, c in dims.EVENT_FEATURES.items()]
+    agg = hits.groupBy("cik", "as_of").agg(
+        F.max(is_label & F.col("age").between(0, prior_days - 1)).alias("had_prior"),
+        F.min(F.when(is_label & F.col("age").between(-horizon, -1), F.col("filed"))).alias("label_date"), *feats)
+    zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in dims.EVENT_FEATURES.values()}
+    return (base.join(agg, ["cik", "as_of"], "left").withColumns(
+        {**zero, "had_prior": F.coalesce("had_prior", F.lit(False)), "label": F.col("label_date").isNotNull().cast("int")}))
+
+
 def periodic_filers(companies: DataFrame, filings: DataFrame) -> DataFrame:
     """Entities with at least one 10-K or 10-Q."""
     return companies.join(filings.where(F.col("form").rlike(PERIODIC)).select("cik").distinct(), "cik", "left_semi")

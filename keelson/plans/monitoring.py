@@ -10,6 +10,7 @@ from keelson.operators import evaluate as evl
 from keelson.plans import views
 from keelson.plans.oracle import view
 from keelson.plans.registry import query
+from keelson.session import materialise
 
 CUT = "2024-01-16 00:00:00"
 
@@ -57,14 +58,14 @@ def reference_histograms(spark, sf):
 @query("population_stability", "SELECT model, feature, live_n, round(psi, 6) AS psi FROM psi_p WHERE feature <> 'prediction'")
 def population_stability(spark, sf):
     ref, live = parts(spark, sf)
-    h = drift.reference_histogram(drift.long_features(ref), ["model", "feature"])
+    h = materialise(drift.reference_histogram(drift.long_features(ref), ["model", "feature"]))
     return drift.psi(h, drift.long_features(live), ["model", "feature"]).withColumn("psi", F.round("psi", 6))
 
 
 def report(spark, sf):
     ref, live = parts(spark, sf)
-    h = drift.reference_histogram(drift.long_features(ref), ["model", "feature"])
-    hp = drift.reference_histogram(ref.select("model", F.col("prediction").alias("v")), ["model"])
+    h = materialise(drift.reference_histogram(drift.long_features(ref), ["model", "feature"]))      # stored with the model
+    hp = materialise(drift.reference_histogram(ref.select("model", F.col("prediction").alias("v")), ["model"]))
     return drift.drift_report(h, hp, live)
 
 

@@ -379,12 +379,10 @@ def distress_dataset(facts, filings, events, companies, first=FIRST, last=LAST):
     annual = (filings.where(F.col("form").isin(ANNUAL_FORMS) & F.col("filed").between(first, last))
               .select("cik", "accn", "filed", "report_date").withColumn("as_of", F.col("filed"))
               .join(universe, "cik"))
-    rows = ev.exclude_prior(annual, events, "BANKRUPTCY", 730)
-    asofs = rows.select("cik", "as_of").distinct()
+    asofs = annual.select("cik", "as_of").distinct()
+    context = ev.event_summary(asofs, events).where(~F.col("had_prior")).drop("had_prior")
     snap = snapshot(facts, asofs, max_age=MAX_AGE)
-    feats = ev.event_features(asofs, events)
-    labels = ev.first_event_between(asofs, events, "BANKRUPTCY", 365)
-    wide = (rows.join(snap, ["cik", "as_of"]).join(feats, ["cik", "as_of"]).join(labels, ["cik", "as_of"]))
+    wide = annual.join(context, ["cik", "as_of"]).join(snap, ["cik", "as_of"])
     out = ratios.compute_features(wide).withColumns(
         {"sector": dims.sector_for_sic("sic"), "year": F.year("as_of")})
     return out.select("cik", "accn", "as_of", "period_end", "label", "label_date",

@@ -11,6 +11,7 @@ from keelson.plans import text as pt
 from keelson.plans import views
 from keelson.plans.intake import scratch
 from keelson.plans.registry import query
+from keelson.session import materialise
 from keelson.streaming import feeds
 
 
@@ -22,7 +23,7 @@ def table(spark, stream, mode="complete"):
 @query("stream_drift", "SELECT model, feature, CAST(live_n AS BIGINT) AS n, round(psi, 6) AS psi FROM psi_p WHERE feature <> 'prediction'")
 def stream_drift(spark, sf):
     ref, live = pmon.parts(spark, sf)
-    h = drift.reference_histogram(drift.long_features(ref), ["model", "feature"])
+    h = materialise(drift.reference_histogram(drift.long_features(ref), ["model", "feature"]))
     log = feeds.replay(spark, live.select("logged_at", "model", "features"), scratch(spark))
     bins = table(spark, feeds.drift_bins(log, h, window="3650 days"))
     return feeds.psi_of_bins(bins, h).select("model", "feature", "n", F.round("psi", 6).alias("psi"))
