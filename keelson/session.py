@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+STATIC_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",     # call-site capture doubles plan-building time
 }
 
@@ -20,7 +22,7 @@ def build_session(app: str = "keelson", master: str | None = None, **extra: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **extra}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -28,7 +30,7 @@ def build_session(app: str = "keelson", master: str | None = None, **extra: str)
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options every operator relies on (safe to call on a session made elsewhere)."""
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 

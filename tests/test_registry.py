@@ -25,3 +25,10 @@ def test_flagship_entry(spark):
     df = e.entry(spark)
     assert df.count() > 0 and {"cik", "accn", "label", "altman_z2", "ev_late_filing"} <= set(df.columns)
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_prepare_accepts_a_session_made_elsewhere(spark):
+    """Static options cannot be set on a running session, so preparing one must not try."""
+    from keelson.session import RUNTIME_CONF, STATIC_CONF, prepare
+    prepare(spark)
+    assert all(spark.conf.isModifiable(k) for k in RUNTIME_CONF) and not any(spark.conf.isModifiable(k) for k in STATIC_CONF)
