@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, entropy, language, quality, token_counts, vectors
+from keelson.llm import chat, entropy, language, mixing, quality, simhash, token_counts, vectors
 from keelson.llm.common import ready, remainder, table
 
 
@@ -30,6 +30,14 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(ready(spark), sf_dir, "embeddings"))
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, F.array("source"))
+    own = F.col("mix_sources")[0]
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), own["size"].alias("source_size"), own["target"].alias("target"),
+                        F.col("mix_taken").alias("taken"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -44,6 +52,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents marked quality 1 and not toxic; background: all documents."""
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
@@ -52,5 +64,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.score(docs, symbols, losses).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_chat_format, op3_nearest, op6_token_counts, op7_quality, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_chat_format, op3_nearest, op4_mixture, op6_token_counts, op7_quality, op8_simhash, op10_lm_score)}
 ORACLES: dict[str, str] = {}
