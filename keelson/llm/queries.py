@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, entropy, language, mixing, quality, simhash, token_counts, vectors
+from keelson.llm import chat, entropy, language, leaks, lines, mixing, quality, simhash, token_counts, vectors
 from keelson.llm.common import ready, remainder, table
 
 
@@ -38,6 +38,12 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("mix_taken").alias("taken"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the texts left after line deduplication."""
+    left = lines.dedup_lines(table(ready(spark), sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -56,6 +62,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of documents that hold benchmark items, also with other numbers, names or units."""
+    found = leaks.leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "n_tokens", "n_slots", "changed")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents marked quality 1 and not toxic; background: all documents."""
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
@@ -64,5 +76,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.score(docs, symbols, losses).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_chat_format, op3_nearest, op4_mixture, op6_token_counts, op7_quality, op8_simhash, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_chat_format, op3_nearest, op4_mixture, op5_lines, op6_token_counts, op7_quality, op8_simhash, op9_leaks, op10_lm_score)}
 ORACLES: dict[str, str] = {}

@@ -13,9 +13,9 @@ Linking: two texts link when their fingerprints differ in at most `distance` = 3
   three is dropped with all its members, and a pair that cannot exceed three is linked without looking inside.
 * A task emits a spanning set of its links (each entry to the smallest of its local group), never all pairs; `components` joins them.
 
-Defined cases: null and empty texts have fingerprint zero and link like any other; fewer than three words are one shingle; texts of any
+Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle are one shingle; texts of any
 length are read whole; repeated rows are repeated in the result; rows with a null id get their component but are never its name unless all
-ids in it are null; an empty table gives an empty result; extra columns are kept, those named fingerprint or component_id are replaced.
+ids in it are null; an empty table gives an empty result; extra columns are ignored (`near_duplicates`) or kept (`keep_first`).
 """
 
 from __future__ import annotations
@@ -199,12 +199,27 @@ def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
 
 
 def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(_fp, component_id): for each fingerprint of `marked` the smallest `key` reachable over links."""
+    """(_fp, _root, component_id): for each fingerprint of `marked` its group, and the smallest `key` of the group."""
     entries = materialise(marked.groupBy("_fp").agg(F.min(key).alias("_id")))
     groups = components(links(entries, distance))
     named = entries.join(groups, F.col("_fp") == F.col("node"), "left").select("_fp", "_id", F.coalesce("component", "_fp").alias("_root"))
     first = named.groupBy("_root").agg(F.min("_id").alias("component_id"))
-    return named.join(first, "_root").select("_fp", "component_id")
+    return named.join(first, "_root").select("_fp", "_root", "component_id")
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """`df` with one row of each group: the one with the smallest key, and one of its repeated rows if it has any."""
+    marked = materialise(with_fingerprints(df.select(key, column), column, shingle).select(F.col(key).alias("_id"), "_fp"))
+    groups = classes(marked, "_id", distance)
+    kept = materialise(marked.join(groups, "_fp").where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "_fp", "_root")
+                       .agg(F.count("*").alias("n")))
+    # a group keeps one fingerprint of its first key; rows that have just that fingerprint and key are its candidates
+    one = kept.groupBy("_root").agg(F.min(F.struct("_id", "_fp", "n")).alias("k")).select("k.*")
+    rows = with_fingerprints(df, column, shingle)
+    rows = rows.join(one, rows["_fp"].eqNullSafe(one["_fp"]) & rows[key].eqNullSafe(one["_id"])).select(*[rows[c] for c in rows.columns], "n")
+    single = rows.where("n = 1")
+    repeated = rows.where("n > 1").dropDuplicates(["_fp", key])
+    return single.union(repeated).select(*df.columns)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
