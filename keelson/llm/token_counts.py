@@ -24,7 +24,7 @@ from keelson.llm.common import add_columns
 
 OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 #: Latin text without odd control characters: here Python and the library agree on case, composition and classes.
-SAFE = re.compile("[\t-\r -~ -ɏ‐-‧‰-›€]*")
+SAFE = re.compile("[\t-\r -~\u00a0-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
 CACHE_PIECES = 400_000
 
 
