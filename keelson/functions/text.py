@@ -82,11 +82,11 @@ def quarter_label(day: Column) -> Column:
     return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
 
 
-def review_text(headline: str = "headline", pros: str = "pros", cons: str = "cons") -> Column:
-    """Headline, pros and cons as one text; the model input is the first 2000 characters by definition."""
+def review_text(headline: str = "headline", pros: str = "pros", cons: str = "cons", limit: int | None = None) -> Column:
+    """Headline, pros and cons as one text; a model with a bounded input can ask for its first `limit` characters."""
     blank = F.lit("")
-    return F.substring(F.concat(F.coalesce(headline, blank), F.lit(". Pros: "), F.coalesce(pros, blank),
-                                F.lit(". Cons: "), F.coalesce(cons, blank)), 1, 2000)
+    whole = F.concat(F.coalesce(headline, blank), F.lit(". Pros: "), F.coalesce(pros, blank), F.lit(". Cons: "), F.coalesce(cons, blank))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def percent(x: Column) -> Column:

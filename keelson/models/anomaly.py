@@ -9,7 +9,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])      # workers need no copy of this package
@@ -36,13 +36,13 @@ def fit_forest(train: DataFrame, row_id: str, features: list[str], trees: int =
     """Each tree sees its own seeded subsample, picked by hash so a tree's group holds about SUBSAMPLE rows whatever the data size.
     The model is trees x at most 2 x SUBSAMPLE nodes, a fixed bound."""
     n = max(1, train.count())
-    per_row = min(float(trees), trees * SUBSAMPLE / n)
-    h = lambda part: F.pmod(F.xxhash64(row_id, F.lit(part), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    if per_row >= 1:        # small data: every tree takes each row with the same chance
-        u = F.pmod(F.xxhash64(F.col(row_id), F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        pool = train.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(u < min(1.0, SUBSAMPLE / n))
-    else:                   # large data: a row is drawn at most once, into one tree
-        pool = train.where(h("in") < per_row).withColumn("tree", F.floor(h("tree") * trees).cast("int"))
+    chance = min(1.0, SUBSAMPLE / n)
+
+    def drawn(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col(row_id), tree, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))
+
+    # only the trees that drew a row are written out for it
+    pool = train.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)))
 
     def grow(key, pdf):
         rng = np.random.default_rng(seed + int(key[0]))

@@ -39,7 +39,7 @@ def adjust_splits(prices: DataFrame, tolerance: float = 0.03) -> DataFrame:
 
 
 def robust_z(prices: DataFrame, window: int = 60) -> DataFrame:
-    """Trailing robust z-scores against the previous `window` bars (none of them missing); rows with any NULL dropped."""
+    """Trailing robust z-scores against the previous `window` bars, of which half must have a value; rows with any NULL dropped."""
     w = by_ticker()
     prev_close = F.lag("close").over(w)
     base = prices.withColumns({
@@ -53,7 +53,7 @@ def robust_z(prices: DataFrame, window: int = 60) -> DataFrame:
         def scaled(h):
             return let(sorted_median(h), lambda med: (x - med) / F.nullif(
                 sorted_median(F.transform(h, lambda v: F.abs(v - med))) * 1.4826, F.lit(0.0)))
-        return F.when(F.size(hist) == window, let(hist, scaled))
+        return F.when(F.size(hist) >= window // 2, let(hist, scaled))
 
     out = base.withColumns({name: z(F.col(c), F.col(f"_h_{name}")) for name, c in sources.items()})
     out = out.withColumn("abs_ret_z", F.abs("ret_z")).dropna(subset=[*Z_COLUMNS, "abs_ret_z"])

@@ -83,9 +83,14 @@ def age_days(as_of: str = "as_of"):
     return (end - F.unix_seconds("published_at")) / 86400.0
 
 
+def known_news(articles: DataFrame, days: int = 90) -> DataFrame:
+    """Articles of the `days` up to the end of the as-of date, with _age; later ones are not known yet."""
+    return articles.withColumn("_age", age_days()).where(F.col("_age").between(0, days))
+
+
 def news_stats(articles: DataFrame) -> DataFrame:
     """Level, trend, strongly negative share and summary per (cik, as_of). Needs polarity and label."""
-    a = articles.withColumn("_age", age_days()).withColumn("_w", F.pow(F.lit(0.5), F.col("_age") / HALF_LIFE))
+    a = known_news(articles).withColumn("_w", F.pow(F.lit(0.5), F.col("_age") / HALF_LIFE))
     recent, prior = F.col("_age") <= 30, (F.col("_age") > 30) & (F.col("_age") <= 90)
     pol = F.col("polarity")
     g = a.groupBy("cik", "as_of").agg(
@@ -107,6 +112,7 @@ def daily_sentiment(articles: DataFrame, *keys: str) -> DataFrame:
 def sentiment_shock(articles: DataFrame) -> DataFrame:
     """Per (cik, as_of): the last seven days against the earlier daily baseline."""
     keys = ["cik", "as_of"]
+    articles = known_news(articles)
     newest = articles.groupBy(*keys).agg(F.max("published_at").alias("_last"), F.max(F.to_date("published_at")).alias("_day"))
     daily = daily_sentiment(articles, *keys).join(newest, keys)
     late = F.col("day") > F.date_sub("_day", 7)
@@ -133,7 +139,7 @@ def news_events(articles: DataFrame) -> DataFrame:
         (F.col("_e.penalty") * F.greatest(F.lit(0.0), -F.col("polarity"))).alias("penalty"), "title")
 
 
-def merge_events(news: DataFrame, filings: DataFrame, days: int = 7, keep_evidence: int = 10) -> DataFrame:
+def merge_events(news: DataFrame, filings: DataFrame, days: int = 7) -> DataFrame:
     """Same-type news within `days` of a cluster's first item merge; a filing of that type nearby zeroes the penalty.
 
     Clusters are folded over the distinct days of a (company, type) - bounded by the calendar - and joined back. A LAYOFFS
@@ -152,9 +158,7 @@ def merge_events(news: DataFrame, filings: DataFrame, days: int = 7, keep_eviden
     merged = tied.groupBy("cik", "type", "anchor").agg(
         F.max("penalty").alias("penalty"), F.count(F.lit(1)).alias("items"),
         F.min_by(F.struct("label", "origin", "severity", "title"), F.struct("date", "evidence")).alias("first"))
-    top = W.partitionBy("cik", "type", "anchor").orderBy("date", "evidence")
-    evidence = (tied.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= keep_evidence)
-                .groupBy("cik", "type", "anchor").agg(F.array_sort(F.collect_list(F.struct("_k", "evidence"))).alias("_e"))
+    evidence = (tied.groupBy("cik", "type", "anchor").agg(F.array_sort(F.collect_list(F.struct("date", "evidence"))).alias("_e"))
                 .withColumn("evidence", F.transform("_e", lambda x: x["evidence"])).drop("_e"))
     near = (merged.select("cik", "type", "anchor")
             .withColumn("_t", F.explode(F.when(F.col("type") == "LAYOFFS", F.array(F.lit("LAYOFFS"), F.lit("RESTRUCTURING")))

@@ -60,7 +60,7 @@ def split_adjusted(spark, sf):
 
 _Z = {"ret_z": "ret", "volume_z": "lv", "range_z": "rng", "gap_z": "gap"}
 _hist = ", ".join(f"list({c}) OVER w AS h_{z}, count({c}) OVER w AS n_{z}" for z, c in _Z.items())
-_zs = ", ".join(f"CASE WHEN n_{z} = 60 THEN ({c} - list_median(h_{z})) / nullif(1.4826::DOUBLE * list_median(list_transform(h_{z}, "
+_zs = ", ".join(f"CASE WHEN n_{z} >= 30 THEN ({c} - list_median(h_{z})) / nullif(1.4826::DOUBLE * list_median(list_transform(h_{z}, "
                 f"lambda x: abs(x - list_median(h_{z})))), 0) END AS {z}" for z, c in _Z.items())
 view("robust_p", f"""SELECT ticker, bar, ret, {', '.join(_Z)}, abs(ret_z) AS abs_ret_z FROM (SELECT *, {_zs} FROM (
   SELECT *, {_hist} FROM (SELECT *, ln(close / lag(close) OVER o) AS ret, ln(1 + volume) AS lv, (high - low) / close AS rng,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.functions import numeric as num
@@ -145,7 +146,7 @@ def feature_group_ablation(spark, sf):
 # ------------------------------------------------------------------ anomalies
 def statement_scores(spark, sf):
     rows = num.min_present(split_dataset(spark, sf), anomaly.FINANCIAL, 6)
-    scaled = materialise(prepare.robust_scale(rows.withColumn("row_id", F.col("accn").cast("bigint")), anomaly.FINANCIAL, rows.where("split = 'train'")))
+    scaled = materialise(prepare.robust_scale(rows.withColumn("row_id", F.xxhash64("accn")), anomaly.FINANCIAL, rows.where("split = 'train'")))
     forest = anomaly.fit_forest(scaled.where("split = 'train'"), "row_id", anomaly.FINANCIAL, trees=50)
     return materialise(anomaly.score_forest(scaled, anomaly.FINANCIAL, forest))
 
@@ -160,7 +161,7 @@ def statement_anomalies(spark, sf):
 
 @query("statement_injection_benchmark")
 def statement_injection(spark, sf):
-    rows = num.min_present(split_dataset(spark, sf), anomaly.FINANCIAL, 6).withColumn("row_id", F.col("accn").cast("bigint"))
+    rows = num.min_present(split_dataset(spark, sf), anomaly.FINANCIAL, 6).withColumn("row_id", F.xxhash64("accn"))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     forest = anomaly.fit_forest(prepare.robust_scale(train, anomaly.FINANCIAL, train), "row_id", anomaly.FINANCIAL, trees=50)
     inj = prepare.robust_scale(anomaly.inject_statements(test, "row_id", 0.05), anomaly.FINANCIAL, train)
@@ -219,7 +220,7 @@ def fit_segments(spark, sf):
     z = materialise(segments.vectorise(prepare.rank_normal(now, "cik", segments.FEATURES), segments.FEATURES))
     rows, km = segments.choose_k(z)
     centres = [list(map(float, c)) for c in km.clusterCenters()]
-    names = segments.name_clusters([dict(zip(segments.FEATURES, c)) for c in centres])
+    names = segments.cluster_names(spark, centres)
     return now, before, z, rows, km, segments.assign(z, centres, names)
 
 
@@ -227,19 +228,13 @@ def fit_segments(spark, sf):
 def segment_choice(spark, sf):
     """Silhouettes by k for k-means and the mixture, next to the sector baseline and Davies-Bouldin of the chosen k."""
     now, _, z, rows, km, assigned = segmented(spark, sf)
-    sector = z.join(now.select("cik", F.abs(F.hash("sector") % 1000).cast("double").alias("sector_code")), "cik")
-    codes = sector.select("sector_code").distinct().withColumn("s", F.dense_rank().over(pp_window())).withColumn("s", (F.col("s") - 1).cast("double"))
-    base = segments.silhouette(sector.join(codes, "sector_code"), "s")
+    codes = now.select("sector").distinct().withColumn("s", (F.dense_rank().over(W.orderBy("sector")) - 1).cast("double"))     # a dozen sectors
+    base = segments.silhouette(z.join(now.select("cik", "sector").join(codes, "sector").select("cik", "s"), "cik"), "s")
     out = spark.createDataFrame([(k, a, b) for k, a, b in rows], "k int, kmeans_silhouette double, mixture_silhouette double")
     db = segments.davies_bouldin(assigned, "cluster").scalar()
     return out.withColumns({"sector_silhouette": F.lit(float(base)), "chosen": F.col("k") == len(km.clusterCenters()), "davies_bouldin": db})
 
 
-def pp_window():
-    from pyspark.sql import Window as W
-    return W.orderBy("sector_code")       # a dozen sector codes
-
-
 @query("company_segments")
 def company_segments(spark, sf):
     return segmented(spark, sf)[5].select("cik", "cluster", "segment", "membership")
@@ -384,7 +379,7 @@ def complaint_themes(spark, sf):
     from keelson.plans.reviews import firm_reviews
     r = materialise(firm_reviews(spark, sf).select("cik", "review_id", "cons"))
     m = texts.fit_themes(r, "cons", k=8, iterations=5)
-    return rv.theme_shares(texts.theme_weights(m, r, texts.name_topics(m)).select("cik", "review_id", "theme", "w"))
+    return rv.theme_shares(texts.theme_weights(m, r, texts.topic_names(m)).select("cik", "review_id", "theme", "w"))
 
 
 _lex = " ".join(f"WHEN '{w}' THEN {v}" for w, v in texts.LEXICON.items())
@@ -404,8 +399,8 @@ def rating_labels(spark, sf):
 
 @query("vector_outliers")
 def vector_outliers(spark, sf):
-    """Isolation scores of the embedding vectors on their first coordinates."""
+    """Isolation scores of the embedding vectors on all their coordinates."""
     e = views.table(spark, sf, "embeddings")
-    cols = [f"x{i}" for i in range(8)]
+    cols = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     wide = e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
     return anomaly.score_forest(wide, cols, anomaly.fit_forest(wide, "vec_id", cols, trees=50)).select("vec_id", "raw_score")

@@ -39,8 +39,8 @@ def by_company(spark, sf):
     return firm_reviews(spark, sf).groupBy("cik", "firm").agg(F.count("*").alias("n"), F.max("date_review").alias("last"))
 
 
-@query("review_texts", """SELECT review_id, md5(substr(coalesce(headline, '') || '. Pros: ' || coalesce(pros, '') || '. Cons: '
-  || coalesce(cons, ''), 1, 2000)) AS digest FROM reviews_p""")
+@query("review_texts", """SELECT review_id, md5(coalesce(headline, '') || '. Pros: ' || coalesce(pros, '') || '. Cons: '
+  || coalesce(cons, '')) AS digest FROM reviews_p""")
 def review_texts(spark, sf):
     from keelson.functions.text import review_text
     return reviews(spark, sf).select("review_id", F.md5(review_text()).alias("digest"))

@@ -383,7 +383,7 @@ def score_history(spark, sf):
 
 # ------------------------------------------------------------------ the whole-universe report
 def universe_report(spark, sf):
-    """One nested row per company: health, pillars with their factors, ordered signals, newest events, summary sentence."""
+    """One nested row per company: health, pillars with their factors, ordered signals, events from the newest, summary sentence."""
     facs, pillars, health, feats, ld = assemble(spark, sf)
     imp = fx.impacts(facs, pillars)
     keys = ["cik", "as_of"]
@@ -392,8 +392,7 @@ def universe_report(spark, sf):
            .agg(F.array_sort(F.collect_list(F.struct("pillar", "score", "weight", "effective_weight", "coverage", "factors"))).alias("pillars")))
     sig = (all_signals(spark, sf, feats, ld).groupBy(*keys)
            .agg(F.array_sort(F.collect_list(F.struct("position", "code", "severity", "kind", "date", "message"))).alias("signals")))
-    from keelson.operators.serving import newest_per_key
-    evs = (newest_per_key(ld, ["cik"], ["date", "accn", "type"], 150).groupBy(*keys)
+    evs = (ld.groupBy(*keys)
            .agg(F.sort_array(F.collect_list(F.struct("date", "accn", "type", "label", "severity", "penalty")), False).alias("events")))
     co = views.companies(spark, sf).select("cik", "name", "sector", "bank")
     out = (co.join(health, "cik").join(pil, keys).join(sig, keys, "left").join(evs, keys, "left"))
@@ -407,12 +406,12 @@ def summary_text():
                       F.lit(", with "), fx.confidence_text(F.col("confidence")), F.lit(" confidence ("), cover, F.lit(" data coverage)."))
     missing = F.concat(F.lit("A reliable health score could not be computed for "), F.col("name"), F.lit(" as of "), F.col("as_of").cast("string"),
                        F.lit(": only "), cover, F.lit(" of the expected public data is available."))
-    warn = F.concat(F.lit(" Warning signals: "), F.array_join(F.transform(F.slice("signals", 1, 4), lambda s: s["message"]), "; "), F.lit("."))
+    warn = F.concat(F.lit(" Warning signals: "), F.array_join(F.transform("signals", lambda s: s["message"]), "; "), F.lit("."))
     return F.concat(F.when(F.col("score").isNull(), missing).otherwise(scored), F.when(F.size("signals") > 0, warn).otherwise(F.lit("")))
 
 
 @query("universe_report", f"""SELECT c.cik, c.name, c.sector, h.score, {_BAND} AS band, h.confidence, (SELECT count(*) FROM signals_p s WHERE s.cik = c.cik) AS signals,
-  (SELECT least(150, count(*)) FROM load_p l WHERE l.cik = c.cik) AS events, (SELECT count(*) FROM factors_all f WHERE f.cik = c.cik) AS factors
+  (SELECT count(*) FROM load_p l WHERE l.cik = c.cik) AS events, (SELECT count(*) FROM factors_all f WHERE f.cik = c.cik) AS factors
 FROM companies_s c JOIN health_p h USING (cik)""")
 def universe(spark, sf):
     r = universe_report(spark, sf)

@@ -16,10 +16,10 @@ PHRASES = ["announces quarterly results", "to lay off staff", "sued over data br
 _phrase = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END"
 _cik = "CAST(substr(d.source, 4) AS INT) + 1"
 _pol = "CASE WHEN l.quality IS NULL THEN ((d.doc_id * 37) % 201 - 100) / 1e2 ELSE (l.quality - l.toxic) * 8e-1 END"
-_ART = f"""SELECT {_cik} AS cik, d.doc_id AS article_id, substr(d.text, 1, 60) || ' ' || {_phrase.replace('doc_id', 'd.doc_id')} AS title,
+_ART = f"""SELECT {_cik} AS cik, d.doc_id AS article_id, d.text || ' ' || {_phrase.replace('doc_id', 'd.doc_id')} AS title,
   'http://' || d.source || '/' || d.doc_id AS url, d.source AS domain, {{ts}} AS published_at, {_pol} AS polarity
 FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id"""
-_secs = "1704067200 + (d.doc_id % 90) * 86400 + (d.doc_id * 7919) % 86400"
+_secs = "1704067200 + (d.doc_id % 120) * 86400 + (d.doc_id * 7919) % 86400"
 _LABEL = "CASE WHEN polarity > 3e-1 THEN 'positive' WHEN polarity < -3e-1 THEN 'negative' ELSE 'neutral' END"
 view("articles_p", f"SELECT *, {_LABEL} AS label FROM ("
      + _ART.format(ts=f"make_timestamp(({_secs}) * 1000000)", documents="documents", labels="labels") + ")")
@@ -110,7 +110,7 @@ def moved_filings(spark, sf):
 tied AS (SELECT n.cik, n.type, n.date, n.evidence, n.title, n.penalty, max(w.anchor) AS anchor FROM news_events_p n JOIN walk w
   ON w.cik = n.cik AND w.type = n.type AND w.anchor <= n.date GROUP BY ALL),
 clusters AS (SELECT cik, type, anchor AS date, arg_min(title, (date, evidence)) AS title, count(*) AS items,
-  list_slice(list(evidence ORDER BY date, evidence), 1, 10) AS evidence, max(penalty) AS p FROM tied GROUP BY cik, type, anchor),
+  list(evidence ORDER BY date, evidence) AS evidence, max(penalty) AS p FROM tied GROUP BY cik, type, anchor),
 marked AS (SELECT c.cik, c.type, c.date, count(f.cik) > 0 AS superseded FROM clusters c LEFT JOIN news_filings f ON f.cik = c.cik
   AND (f.event = c.type OR (c.type = 'LAYOFFS' AND f.event = 'RESTRUCTURING')) AND abs(date_diff('day', f.filed, c.date)) <= 7 GROUP BY ALL)
 SELECT cik, type, date, title, items, evidence, superseded, CASE WHEN superseded THEN 0 ELSE round(p, 6) END AS penalty
@@ -120,13 +120,15 @@ def merged_events(spark, sf):
     return m.select("cik", "type", "date", "title", "items", "evidence", "superseded", F.round("penalty", 6).alias("penalty"))
 
 
+# what is known on the as-of date: the 90 days up to its end, nothing published later
+view("known_p", f"""SELECT * FROM (SELECT *, (epoch(TIMESTAMP '{AS_OF}') + 86400 - floor(epoch(published_at))) / 86400.0::DOUBLE AS age FROM articles_p)
+  WHERE age >= 0 AND age <= 90""")
 view("news_stats_p", f"""SELECT cik, DATE '{AS_OF}' AS as_of, count(*) AS articles, sum(w * polarity) / (sum(w) + 5) AS level,
   CASE WHEN count(*) FILTER (age <= 30) >= 3 AND count(*) FILTER (age > 30 AND age <= 90) >= 3 THEN
     avg(polarity) FILTER (age <= 30) - avg(polarity) FILTER (age > 30 AND age <= 90) END AS trend,
   avg(CAST(label = 'negative' AND polarity <= -0.5::DOUBLE AS DOUBLE)) AS neg_share, avg(polarity) AS mean_sentiment,
   avg(CAST(label = 'positive' AS DOUBLE)) AS positive_share, avg(CAST(label = 'negative' AS DOUBLE)) AS negative_share
-FROM (SELECT *, pow(0.5::DOUBLE, age / 14) AS w FROM (SELECT *, (epoch(TIMESTAMP '{AS_OF}') + 86400 - floor(epoch(published_at)))
-  / 86400.0::DOUBLE AS age FROM articles_p)) GROUP BY cik""")
+FROM (SELECT *, pow(0.5::DOUBLE, age / 14) AS w FROM known_p) GROUP BY cik""")
 _NS = ["level", "trend", "neg_share", "mean_sentiment", "positive_share", "negative_share"]
 
 
@@ -144,11 +146,12 @@ def daily_sentiment(spark, sf):
     return news.daily_sentiment(articles(spark, sf)).withColumn("sentiment", F.round("sentiment", 6))
 
 
+view("known_daily_p", "SELECT cik, CAST(published_at AS DATE) AS day, avg(polarity) AS sentiment FROM known_p GROUP BY 1, 2")
 view("shock_p", """SELECT d.cik, count(*) AS days, count(*) FILTER (day <= m.day1 - 7) AS base_days, any_value(n7) AS n7,
   avg(sentiment) FILTER (day > m.day1 - 7) AS last7, avg(sentiment) FILTER (day <= m.day1 - 7) AS base_mean,
   stddev_samp(sentiment) FILTER (day <= m.day1 - 7) AS base_std
-FROM daily_p d JOIN (SELECT a.cik, max(CAST(published_at AS DATE)) AS day1, count(*) FILTER (published_at > last1 - INTERVAL 7 DAY) AS n7
-  FROM articles_p a JOIN (SELECT cik, max(published_at) AS last1 FROM articles_p GROUP BY cik) x USING (cik) GROUP BY a.cik) m
+FROM known_daily_p d JOIN (SELECT a.cik, max(CAST(published_at AS DATE)) AS day1, count(*) FILTER (published_at > last1 - INTERVAL 7 DAY) AS n7
+  FROM known_p a JOIN (SELECT cik, max(published_at) AS last1 FROM known_p GROUP BY cik) x USING (cik) GROUP BY a.cik) m
   USING (cik) GROUP BY d.cik""")
 
 

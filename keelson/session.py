@@ -12,6 +12,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",   # keyed state
 }
 STATIC_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",     # call-site capture doubles plan-building time

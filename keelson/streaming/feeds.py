@@ -22,7 +22,7 @@ def drift_bins(log: DataFrame, reference: DataFrame, window: str = "15 days", de
     """Windowed bin counts of the logged features (the state is windows x features x bins, independent of traffic)."""
     long = (log.withWatermark("logged_at", delay).select("logged_at", "model", F.explode("features").alias("feature", "v"))
             .where(F.col("v").isNotNull()))
-    binned = long.join(F.broadcast(reference.select("model", "feature", "edges")), ["model", "feature"])   # one row per model and feature
+    binned = long.join(reference.select("model", "feature", "edges"), ["model", "feature"])
     return (binned.withColumn("bin", drift.bin_of(F.col("edges"), F.col("v")))
             .groupBy(F.window("logged_at", window).alias("w"), "model", "feature", "bin").agg(F.count(F.lit(1)).alias("c")))
 
@@ -91,9 +91,10 @@ class LastReport(StatefulProcessor):
             known = set() if state is None else set(state[3].split(","))
             fresh = [c for c in codes if (state is None and c.endswith("!")) or (state is not None and c.rstrip("!") not in known)]
             before = None if state is None else state[2]
-            drop = None if before is None else int(before) - int(r.health_score)
+            now = None if pd.isna(r.health_score) else int(r.health_score)
+            drop = None if before is None or now is None else int(before) - now
             out.append((int(key[0]), int(r.report_id), None if drop is None or drop <= 0 else drop, ",".join(sorted(c.rstrip("!") for c in fresh))))
-            state = (r.generated_at, int(r.report_id), int(r.health_score), r.codes)
+            state = (r.generated_at, int(r.report_id), now, r.codes)
         if state is not None:
             self.last.update((pd.Timestamp(state[0]).to_pydatetime(), state[1], state[2], state[3]))
         if out:
@@ -103,13 +104,9 @@ class LastReport(StatefulProcessor):
         pass
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def report_alerts(reports: DataFrame) -> DataFrame:
     """reports: (company_id, report_id, generated_at, health_score, codes, serious). Keyed state in RocksDB, so a company keeps one
     small record however many reports arrive; watchers are joined afterwards as in the batch form."""
-    reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return reports.groupBy("company_id").transformWithStateInPandas(
         LastReport(), "company_id bigint, report_id bigint, score_drop int, new_signals string", "Append", "None")
 
