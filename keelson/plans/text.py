@@ -1,4 +1,4 @@
-"""Headline queries over the documents table (source = outlet and company, labels = polarity)."""
+"""Headline queries over the documents table (source = outlet and company, labels = polarity). A headline is the first line, whole."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ PHRASES = ["announces quarterly results", "to lay off staff", "sued over data br
 _phrase = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END"
 _cik = "CAST(substr(d.source, 4) AS INT) + 1"
 _pol = "CASE WHEN l.quality IS NULL THEN ((d.doc_id * 37) % 201 - 100) / 1e2 ELSE (l.quality - l.toxic) * 8e-1 END"
-_ART = f"""SELECT {_cik} AS cik, d.doc_id AS article_id, d.text || ' ' || {_phrase.replace('doc_id', 'd.doc_id')} AS title,
+_ART = f"""SELECT {_cik} AS cik, d.doc_id AS article_id, split_part(d.text, chr(10), 1) || ' ' || {_phrase.replace('doc_id', 'd.doc_id')} AS title,
   'http://' || d.source || '/' || d.doc_id AS url, d.source AS domain, {{ts}} AS published_at, {_pol} AS polarity
 FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id"""
 _secs = "1704067200 + (d.doc_id % 120) * 86400 + (d.doc_id * 7919) % 86400"
