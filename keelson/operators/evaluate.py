@@ -73,8 +73,8 @@ def top_k(df: DataFrame, keys: list[str], score: str, row_id: str, k: Column) ->
     rows = df.join(cut.select(*keys, score, "n", "n_before", "_k"), [*keys, score])
     whole = F.col("n_before") + F.col("n") <= F.col("_k")
     edge = rows.where(~whole)
-    order = prefix_sums(fold(edge.withColumn("_id", F.col(row_id).cast("double")), keys, "_id"), keys, "_id", ["n"])
-    kept = (edge.withColumn("_id", F.col(row_id).cast("double")).drop("n")
+    order = prefix_sums(fold(edge.withColumn("_id", F.col(row_id)), keys, "_id"), keys, "_id", ["n"])
+    kept = (edge.withColumn("_id", F.col(row_id)).drop("n")
             .join(order.select(*keys, "_id", F.col("n_before").alias("_ahead")), [*keys, "_id"])
             .where(F.col("n_before") + F.col("_ahead") < F.col("_k")))
     return rows.where(whole).select(*df.columns).unionByName(kept.select(*df.columns))

@@ -1,8 +1,9 @@
 """Exact order statistics without a one-task sort.
 
-Values are first folded to one row per distinct value, then placed in order-preserving buckets (256 per power of two).
-Prefix sums run twice: over the bucket totals (a bounded number of rows per key) and inside each bucket, so no task ever
-sorts a whole group. Quantiles, empirical CDFs, AUC, average precision, top-k shares and ranks all follow from them.
+Values are first folded to one row per distinct value, then cut into ranges of (keys, value) whose bounds Spark samples from the data, so
+ranges hold about as many rows each however narrow or skewed the values are. Prefix sums run twice: over the range totals (a bounded number
+of rows per key) and inside each range, so no task ever sorts a whole group. Quantiles, empirical CDFs, AUC, average precision, top-k
+shares and ranks all follow from them. Any ordered type will do; infinities and NaN take their place in Spark's order (NaN last).
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.session import materialise
+
 
 def bucket_of(value: Column) -> Column:
-    """Monotone bucket number of a double; equal values always share a bucket."""
+    """Monotone bucket number of a finite double, 256 per power of two; equal values always share a bucket."""
     magnitude = F.floor((F.log2(F.abs(value)) + 1100.0) * 256.0).cast("int") + 1
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("int") * magnitude)
 
@@ -21,10 +24,11 @@ def bucket_of(value: Column) -> Column:
 def prefix_sums(folded: DataFrame, keys: list[str], value: str, measures: list[str], descending: bool = False) -> DataFrame:
     """Add `<m>_before` (all values strictly ahead) and `<m>_total` (whole group) for each measure.
 
-    `folded` must hold one row per (keys, value).
+    `folded` must hold one row per (keys, value). It is stored once with the range of each row: two branches read it, and the sampled
+    bounds must be the same for both.
     """
     direction = F.desc if descending else F.asc
-    rows = folded.withColumn("_b", bucket_of(F.col(value)))
+    rows = materialise(folded.repartitionByRange(*keys, value).withColumn("_b", F.spark_partition_id()))
     totals = rows.groupBy(*keys, "_b").agg(*[F.sum(m).alias(m) for m in measures])
     everything = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     ahead = everything.orderBy(direction("_b")).rowsBetween(W.unboundedPreceding, -1)

@@ -56,3 +56,25 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     df = spark.createDataFrame(rows, "id bigint, y int, s double")
     ci, m = evaluate.bootstrap_interval(df, [], "s", "y", "id", replicas=60).first(), evaluate.rank_metrics(df, [], "s", "y").first()
     assert ci["low"] < m["roc_auc"] < ci["high"] and ci["high"] - ci["low"] < 0.2
+
+
+def test_a_narrow_range_of_values_is_spread(spark):
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(1e6) + (F.col("id") * 7919) % n / 1000).alias("v"))
+    ranked = ranking.prefix_sums(ranking.fold(df, [], "v"), [], "v", ["n"])
+    wrong = ranked.where((F.col("n_before") != F.round((F.col("v") - 1e6) * 1000)) | (F.col("n_total") != n)).count()
+    biggest = ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert ranked.count() == n and wrong == 0 and biggest < n / 2
+
+
+def test_infinities_and_nan_take_their_place(spark):
+    inf, nan = float("inf"), float("nan")
+    df = frame(spark, [("a", x) for x in (nan, inf, -inf, 0.0, -0.0, 2.0, nan)])
+    rows = ranking.prefix_sums(ranking.fold(df, ["k"], "v"), ["k"], "v", ["n"]).orderBy("n_before").collect()
+    assert [(str(r["v"]), r["n"], r["n_before"]) for r in rows] == [("-inf", 1, 0), ("0.0", 2, 1), ("2.0", 1, 3), ("inf", 1, 4), ("nan", 2, 5)]
+
+
+def test_top_k_tells_large_ids_apart(spark):
+    big = 1 << 53
+    df = spark.createDataFrame([(big + i, 1.0) for i in range(6)], "id bigint, s double")
+    assert sorted(r["id"] - big for r in evaluate.top_k(df, [], "s", "id", F.lit(3)).collect()) == [0, 1, 2]
