@@ -11,6 +11,8 @@ Linking: two texts link when their fingerprints differ in at most `distance` = 3
 * In a bucket the entries are sorted by Gray rank and grouped by eights, level by level. A node holds the bits its members share (mask
   and pattern). Pairs of nodes go down from the top with the differences of shared bits added up along the way; a pair with more than
   three is dropped with all its members, and a pair that cannot exceed three is linked without looking inside.
+* Near copies of 0.8 and more on five-word shingles differ in up to about ten of 64 bits. The wide form links at 10 bits (13 blocks, of
+  which 3 agree: 286 choices) and, so that unrelated texts do not meet by chance, at 26 of 128 bits with a second word of 64.
 * A task emits a spanning set of its links (each entry to the smallest of its local group), never all pairs; `components` joins them.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle are one shingle; texts of any
@@ -35,34 +37,57 @@ from keelson.llm.common import add_columns, components
 from keelson.session import materialise
 
 DISTANCE, BLOCKS, FAN = 3, 5, 8
+#: Near copies of 0.8 and more on five-word shingles: bits that may differ of the 64 of the index, blocks, and bits of all 128.
+WIDE_DISTANCE, WIDE_BLOCKS, WIDE_TOTAL = 10, 13, 26
+MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-OUT = T.StructType([T.StructField("_fp", T.LongType())])
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits, unsigned. Words and shingles are found in the UTF-8 bytes, where white space and A-Z are single bytes."""
-    if not text:
-        return 0
-    words = WORDS.findall(text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER))
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:len(words) - shingle].tolist()]
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=True)], np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, unsigned: a bit is set if it is set in over half of the hashes."""
     n, total = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, 8192):
         total += np.unpackbits(hashes[i:i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(df: DataFrame, column: str = "text", shingle: int = 3) -> DataFrame:
-    """`df` with _fp, the fingerprint as a signed long."""
-    return add_columns(df, column, OUT, lambda: lambda texts: [[fp - (1 << 64) if (fp := fingerprint(t, shingle)) >> 63 else fp for t in texts]])
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 of each shingle. Words and shingles are found in the UTF-8 bytes, where white space and A-Z are single bytes."""
+    words = WORDS.findall(text.encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER)) if text else []
+    h = xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        return np.array([h(b" ".join(words), 42)] if words else [], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:len(words) - shingle].tolist()]
+    return np.array([h(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits, unsigned; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def with_fingerprints(df: DataFrame, column: str = "text", shingle: int = 3, wide: bool = False) -> DataFrame:
+    """`df` with _fp, the fingerprint as a signed long, and, if `wide`, _fp2: 64 bits more from remixed hashes."""
+    out = T.StructType([T.StructField(c, T.LongType()) for c in (["_fp", "_fp2"] if wide else ["_fp"])])
+
+    def compute(texts: list) -> list[list]:
+        one, two = [], []
+        for t in texts:
+            h = shingle_hashes(t, shingle)
+            one.append(signed(majority(h)))
+            if wide:
+                h = (h ^ (h >> np.uint64(29))) * MIX
+                two.append(signed(majority(h ^ (h >> np.uint64(32)))))
+        return [one, two][:len(out)]
+
+    return add_columns(df, column, out, lambda: compute)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -73,10 +98,12 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, chunk: int = 1 << 20) -> np.ndarray:
+def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, chunk: int = 1 << 20,
+                second: np.ndarray | None = None, total: int = WIDE_TOTAL) -> np.ndarray:
     """For each entry the number of the first entry of its group, links being within buckets only.
 
-    bucket: sorted labels; fps: unsigned, in Gray order within a bucket.
+    bucket: sorted labels; fps: unsigned, in Gray order within a bucket. With `second` (64 bits more of each entry), a link also needs at
+    most `total` differing bits in both together, and no node is linked without looking inside.
     """
     n = len(fps)
     root = np.arange(n)
@@ -118,7 +145,7 @@ def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, c
         shared = lev["mask"][a] & lev["mask"][b]
         apart = np.bitwise_count((lev["both"][a] ^ lev["both"][b]) & shared).astype(np.int64)
         a, b, shared, apart = (x[apart <= distance] for x in (a, b, shared, apart))
-        sure = (apart + np.bitwise_count(~shared) <= distance) & (k > 0)
+        sure = (apart + np.bitwise_count(~shared) <= distance) & (k > 0 and second is None)
         if sure.any():                                            # no two members can differ in more: all of both nodes are one group
             for x, y in ((a, a), (a, b)):
                 x, y = x[sure], y[sure]
@@ -126,6 +153,9 @@ def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, c
                 link(np.repeat(lev["first"][x], width), np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lev["first"][y], width))
         a, b = a[~sure], b[~sure]
         if k == 0:
+            if second is not None:
+                close = np.bitwise_count(fps[a] ^ fps[b]).astype(np.int64) + np.bitwise_count(second[a] ^ second[b]) <= total
+                a, b = a[close], b[close]
             link(a, b)
             continue
         below = levels[k - 1]
@@ -155,15 +185,15 @@ def choices(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [sum(c) for c in itertools.combinations(masks, blocks - distance)]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
+def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
+    """(a, b): links that connect all entries (column _fp, distinct) within `distance` bits, directly or through others.
 
-def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): links that connect all entries (column _fp, distinct) within `distance` bits, directly or through others."""
+    If `wide`, links also need at most WIDE_TOTAL differing bits in _fp and _fp2 together.
+    """
     masks = choices(blocks, distance)
-    keys = F.array(*[F.struct(F.lit(i).cast("int").alias("c"), F.col("_fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks)])
-    dealt = entries.select("_fp", F.explode(keys).alias("k")).select("k.c", "k.bits", "_fp")
+    second = ["_fp2"] if wide else []
+    dealt = entries.select("_fp", *second, F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("c", "m"))
+    dealt = dealt.select("c", F.col("_fp").bitwiseAND(F.col("m")).alias("bits"), "_fp", *second)
     gray = F.col("_fp")
     for s in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
@@ -171,46 +201,50 @@ def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     rows = dealt.repartition("c", "bits").withColumn("rank", gray.bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions("c", "bits", "rank").drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush(upto: int, c, bits, fps):
+        def flush(upto: int, c, bits, fps, *more):
             if not upto:
                 return None
             label = np.cumsum(np.r_[True, (c[1:upto] != c[:upto - 1]) | (bits[1:upto] != bits[:upto - 1])])
             own = fps[:upto]
-            group = local_links(label, own.view(np.uint64), distance)
+            group = local_links(label, own.view(np.uint64), distance, second=more[0][:upto].view(np.uint64) if more else None)
             tied = np.flatnonzero(group != np.arange(upto))
             return pa.RecordBatch.from_pydict({"a": pa.array(own[group[tied]], pa.int64()), "b": pa.array(own[tied], pa.int64())}) if len(tied) else None
 
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                held.append(tuple(batch.column(x).to_numpy() for x in ("c", "bits", "_fp")))
+                held.append(tuple(batch.column(x).to_numpy() for x in ("c", "bits", "_fp", *second)))
             if held and (batch is None or sum(len(h[0]) for h in held) >= 100_000):
-                c, bits, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                c, bits = columns[:2]
                 last = len(c)
                 if batch is not None:                             # the last bucket may go on in the next batch
                     last = int(np.flatnonzero((c == c[-1]) & (bits == bits[-1]))[0])
-                out = flush(last, c, bits, fps)
-                held = [(c[last:], bits[last:], fps[last:])]
+                out = flush(last, *columns)
+                held = [tuple(x[last:] for x in columns)]
                 if out is not None:
                     yield out
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
     """(_fp, _root, component_id): for each fingerprint of `marked` its group, and the smallest `key` of the group."""
     entries = materialise(marked.groupBy("_fp").agg(F.min(key).alias("_id")))
-    groups = components(links(entries, distance))
+    # equal first words are one entry of the result; in the wide form each second word that goes with them is indexed
+    indexed = marked.select("_fp", "_fp2").distinct() if wide else entries
+    groups = components(links(indexed, distance, blocks, wide))
     named = entries.join(groups, F.col("_fp") == F.col("node"), "left").select("_fp", "_id", F.coalesce("component", "_fp").alias("_root"))
     first = named.groupBy("_root").agg(F.min("_id").alias("component_id"))
     return named.join(first, "_root").select("_fp", "_root", "component_id")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE,
+               blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
     """`df` with one row of each group: the one with the smallest key, and one of its repeated rows if it has any."""
-    marked = materialise(with_fingerprints(df.select(key, column), column, shingle).select(F.col(key).alias("_id"), "_fp"))
-    groups = classes(marked, "_id", distance)
+    marked = materialise(with_fingerprints(df.select(key, column), column, shingle, wide).withColumnRenamed(key, "_id").drop(column))
+    groups = classes(marked, "_id", distance, blocks, wide)
     kept = materialise(marked.join(groups, "_fp").where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "_fp", "_root")
                        .agg(F.count("*").alias("n")))
     # a group keeps one fingerprint of its first key; rows that have just that fingerprint and key are its candidates

@@ -229,3 +229,45 @@ def test_entropy_losses_are_distributions_and_tell_corpora_apart(spark):
     assert np.allclose(np.exp(-table.astype(np.float64)).reshape(2, -1, entropy.SYMBOLS).sum(axis=2), 1, atol=1e-4)
     got = {r["doc_id"]: r["score"] for r in entropy.score(docs, symbols, table).collect()}
     assert got[1] > 0 > got[2] and got[100] == got[101] == 0
+
+
+def test_wide_links_against_all_pairs(spark):
+    draw = random.Random(8)
+    rows = [(0, 0, 0)]
+    for _ in range(40):
+        one, two = draw.getrandbits(64), draw.getrandbits(64)
+        for _ in range(6):
+            flip = [sum(1 << b for b in draw.sample(range(64), draw.randint(0, 14))) for _ in range(2)]
+            rows.append((len(rows), one ^ flip[0], two ^ flip[1]))
+    group = {i: i for i, _, _ in rows}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a, b in rows:
+        for j, c, d in rows[:i]:
+            apart = (a ^ c).bit_count()
+            if a == c or apart <= simhash.WIDE_DISTANCE and apart + (b ^ d).bit_count() <= simhash.WIDE_TOTAL:
+                x, y = sorted((top(i), top(j)))
+                group[y] = x
+    df = spark.createDataFrame([(i, simhash.signed(a), simhash.signed(b)) for i, a, b in rows], "doc_id long, _fp long, _fp2 long")
+    found = simhash.classes(df, "doc_id", simhash.WIDE_DISTANCE, simhash.WIDE_BLOCKS, True)
+    got = {r["doc_id"]: r["component_id"] for r in df.join(found, "_fp").collect()}
+    assert got == {i: top(i) for i in group} and 41 < len(set(got.values())) < len(rows)
+
+
+def test_near_copies_of_five_word_shingles_link_in_the_wide_form(spark):
+    draw = random.Random(9)
+    rows = []
+    for k in range(20):
+        words = [f"w{draw.randrange(5000)}" for _ in range(400)]
+        near = list(words)
+        for at in draw.sample(range(400), 4):                     # similarity of about 0.9
+            near[at] = "other"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_first(df, shingle=5, distance=simhash.WIDE_DISTANCE, blocks=simhash.WIDE_BLOCKS, wide=True)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert ids >= set(range(0, 40, 2)) and len(ids) <= 22
