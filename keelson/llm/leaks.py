@@ -1,12 +1,15 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Texts become template tokens: numbers, names (capitalised words inside a sentence) and units (after a number) turn into typed
-placeholders, the rest is lower-cased without punctuation. A document leaks an item when a run of at least `RUN` = 13 template tokens of
-the item (the whole item, if it has fewer) occurs in it and the placeholders are filled consistently: inside the run, one value of the
-item always stands against one value of the document. So a question with other numbers, names or units is found too.
-
-* Windows of `WINDOW` = 6 tokens are hashed: all windows of the items, every `STRIDE` = 3rd of the documents. Any common run of 8 tokens
-  or more holds such a window, so nothing is lost. Windows in which over half of the tokens are placeholders say nothing and are left out.
+placeholders, the rest is lower-cased without punctuation. Worded tokens are the same with names left as lower-cased words, so they do not
+depend on letter case. Two tokens agree when their template, worded or raw forms are equal. A document leaks an item when a run of at least
+`RUN` = 13 tokens of the item (the whole item, if it has fewer) agrees with it and the placeholders are filled consistently: inside the run,
+one value of the item always stands against one value of the document. So a question with other numbers, names or units, or in other letter
+case, is found too.
+
+* Windows of `WINDOW` = 6 tokens are hashed in both forms: all windows of the items, every `STRIDE` = 3rd of the documents. Any common run
+  of 8 tokens or more holds such a window. It is found by it if it agrees in one form; a copy that changes letter case and names at once
+  needs a window without a changed name. Windows in which over half of the tokens are placeholders say nothing and are left out.
 * Window hashes meet in one hash join. Hits are reduced to (document, item, offset) before the aligned tokens are compared.
 * The benchmark side is broadcast if it has at most `BROADCAST_ROWS` windows, the hits if they are as few; else both are shuffled.
 
@@ -43,27 +46,38 @@ def raw_tokens(text: Column) -> Column:
     return F.split(plain(joined_numbers(text)), " ")
 
 
-def template_tokens(text: Column) -> Column:
-    """As many tokens as raw_tokens, with placeholders."""
-    names = F.regexp_replace(joined_numbers(text), "\\p{Lu}(?<=[\\p{L}0-9,;] .)\\p{L}*", NAME)
-    numbers = F.regexp_replace(plain(names), "[0-9](?<![^ ].)[^ ]*", NUMBER)
+def worded_tokens(text: Column) -> Column:
+    """As many tokens as raw_tokens, with placeholders for numbers and units."""
+    numbers = F.regexp_replace(plain(joined_numbers(text)), "[0-9](?<![^ ].)[^ ]*", NUMBER)
     return F.split(F.regexp_replace(numbers, f"{NUMBER} (?:{'|'.join(UNITS)})(?= |$)", f"{NUMBER} {UNIT}"), " ")
 
 
+def template_tokens(text: Column) -> Column:
+    """As many tokens as raw_tokens, with placeholders for numbers, units and names."""
+    return worded_tokens(F.regexp_replace(joined_numbers(text), "\\p{Lu}(?<=[\\p{L}0-9,;] .)\\p{L}*", NAME))
+
+
+def tokens(text: Column, side: str) -> list[Column]:
+    """Template, worded and raw tokens as columns <side>t, <side>w and <side>r."""
+    return [f(text).alias(side + c) for c, f in (("t", template_tokens), ("w", worded_tokens), ("r", raw_tokens))]
+
+
 def is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
-def windows(tokens: Column, stride: int) -> Column:
-    """Array of (at, hash) over windows of WINDOW tokens; the hash is null where over half are placeholders."""
-    starts = F.when(F.size(tokens) >= WINDOW, F.sequence(F.lit(0), F.size(tokens) - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def windows(template: Column, worded: Column, stride: int) -> Column:
+    """Array of (at, hash) over windows of WINDOW tokens, in both forms where these differ; the hash is null where over half are placeholders."""
+    starts = F.when(F.size(template) >= WINDOW, F.sequence(F.lit(0), F.size(template) - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+    def hashed(part: Column) -> Column:
+        return F.when(2 * F.size(F.filter(part, is_slot)) <= WINDOW, F.xxhash64(part))
 
     def window(i: Column) -> Column:
-        part = F.slice(tokens, i + 1, WINDOW)
-        slots = F.size(F.filter(part, is_slot))
-        return F.struct(i.alias("at"), F.when(2 * slots <= WINDOW, F.xxhash64(part)).alias("hash"))
+        one, two = F.slice(template, i + 1, WINDOW), F.slice(worded, i + 1, WINDOW)
+        return F.array(F.struct(i.alias("at"), hashed(one).alias("hash")), F.struct(i.alias("at"), F.when(one != two, hashed(two)).alias("hash")))
 
-    return F.transform(starts, window)
+    return F.flatten(F.transform(starts, window))
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,11 +88,11 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def candidates(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(nk, th, item_id, n, offset): offsets at which a document shares a window with an item of n tokens."""
-    known = items.select("item_id", F.size("it").alias("n"), F.explode(windows(F.col("it"), 1)).alias("w"))
+    known = items.select("item_id", F.size("it").alias("n"), F.explode(windows(F.col("it"), F.col("iw"), 1)).alias("w"))
     known = materialise(known.select("item_id", "n", F.col("w.at").alias("i"), F.col("w.hash").alias("hash")).where("hash is not null"))
     side = F.broadcast(known) if known.count() <= broadcast_rows else known
-    seen = docs.select("nk", "th", template_tokens(F.col("text")).alias("dt"))
-    seen = seen.select("nk", "th", F.explode(windows(F.col("dt"), STRIDE)).alias("w")).select("nk", "th", F.col("w.at").alias("d"), F.col("w.hash").alias("hash"))
+    seen = docs.select("nk", "th", *tokens(F.col("text"), "d")[:2])
+    seen = seen.select("nk", "th", F.explode(windows(F.col("dt"), F.col("dw"), STRIDE)).alias("w")).select("nk", "th", F.col("w.at").alias("d"), F.col("w.hash").alias("hash"))
     hits = seen.join(side, "hash").select("nk", "th", "item_id", "n", (F.col("d") - F.col("i")).alias("offset"))
     return hits.distinct()
 
@@ -90,26 +104,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     `changed` counts the slots whose value differs from the item's: 0 for a plain copy.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).alias("t")).distinct()
-    items = materialise(items.select("item_id", template_tokens(F.col("t")).alias("it"), raw_tokens(F.col("t")).alias("ir")).where(F.size("it") >= SHORTEST))
+    items = materialise(items.select("item_id", *tokens(F.col("t"), "i")).where(F.size("it") >= SHORTEST))
     texts = keyed(docs, key, text)
     found = candidates(texts, items, broadcast_rows)
     places = materialise(found.groupBy("nk", "th").agg(F.collect_list(F.struct("item_id", "n", "offset")).alias("places")))
     side = F.broadcast(places) if places.count() <= broadcast_rows else places
-    there = texts.join(side, ["nk", "th"]).select("id", "th", "places", template_tokens(F.col("text")).alias("dt"), raw_tokens(F.col("text")).alias("dr"))
+    there = texts.join(side, ["nk", "th"]).select("id", "th", "places", *tokens(F.col("text"), "d"))
 
     def aligned(p: Column) -> Column:
         first = F.greatest(-p["offset"], F.lit(0))                 # of the item's tokens
         start = F.greatest(p["offset"], F.lit(0)) + 1
         size = F.least(p["n"] - first, F.size("dt") - start + 1)
-        return F.struct(p["item_id"].alias("item_id"), first.alias("first"), F.slice("dt", start, size).alias("dt"), F.slice("dr", start, size).alias("dr"))
+        return F.struct(p["item_id"].alias("item_id"), first.alias("first"), *[F.slice(c, start, size).alias(c) for c in ("dt", "dw", "dr")])
 
     apart = there.select("id", "th", F.explode(F.transform("places", aligned)).alias("p")).select("id", "th", "p.*")
-    both = apart.join(items, "item_id").withColumns({c: F.slice(c, F.col("first") + 1, F.size("dt")) for c in ("it", "ir")})
+    both = apart.join(items, "item_id").withColumns({c: F.slice(c, F.col("first") + 1, F.size("dt")) for c in ("it", "iw", "ir")})
     return judged(both, items, run)
 
 
 def judged(both: DataFrame, items: DataFrame, run: int) -> DataFrame:
-    """Aligned tokens (dt, dr against it, ir) -> the longest matching run, its slots, and the decision."""
+    """Aligned tokens (dt, dw, dr against it, iw, ir) -> the longest matching run, its slots, and the decision."""
     step = F.lit(1)
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"), F.lit(0).alias("at"))
 
@@ -119,15 +133,15 @@ def judged(both: DataFrame, items: DataFrame, run: int) -> DataFrame:
         return F.struct(now.alias("now"), F.when(longer, now).otherwise(a["best"]).alias("best"),
                         F.when(longer, a["at"] + step).otherwise(a["end"]).alias("end"), (a["at"] + step).alias("at"))
 
-    equal = F.zip_with("it", "dt", lambda a, b: a == b)
+    equal = F.transform(F.arrays_zip("it", "dt", "iw", "dw", "ir", "dr"), lambda p: (p["it"] == p["dt"]) | (p["iw"] == p["dw"]) | (p["ir"] == p["dr"]))
     found = both.withColumn("r", F.aggregate(equal, zero, grow)).withColumn("from", F.col("r.end") - F.col("r.best") + 1).where("r.best > 0")
-    part = {c: F.slice(c, F.col("from"), F.col("r.best")) for c in ("it", "ir", "dr")}
-    found = found.withColumns(part).withColumn("pairs", F.arrays_zip("it", "ir", "dr"))
-    slots = F.transform(F.filter("pairs", lambda p: is_slot(p["it"])), lambda p: F.struct(F.concat(p["it"], p["ir"]).alias("i"), p["dr"].alias("d")))
+    part = {c: F.slice(c, F.col("from"), F.col("r.best")) for c in ("it", "iw", "ir", "dr")}
+    found = found.withColumns(part).withColumn("pairs", F.arrays_zip("it", "iw", "ir", "dr"))
+    slots = F.transform(F.filter("pairs", lambda p: is_slot(p["it"]) | is_slot(p["iw"])), lambda p: F.struct(F.concat(p["it"], p["ir"]).alias("i"), p["dr"].alias("d")))
     found = found.withColumn("slots", slots)
     consistent = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     whole = items.select("item_id", F.size("it").alias("n_item")).groupBy("item_id").agg(F.min("n_item").alias("n_item"))
-    changed = F.size(F.filter("pairs", lambda p: is_slot(p["it"]) & (p["ir"] != p["dr"])))
+    changed = F.size(F.filter("pairs", lambda p: (is_slot(p["it"]) | is_slot(p["iw"])) & (p["ir"] != p["dr"])))
     kept = found.where(consistent).select("id", "th", "item_id", F.col("r.best").alias("matched"), F.size("slots").alias("n_slots"), changed.alias("changed"))
     kept = kept.join(whole, "item_id").where(F.col("matched") >= F.least(F.col("n_item"), F.lit(run)))
     best = kept.groupBy("id", "th", "item_id", "n_item").agg(F.max(F.struct("matched", (-F.col("changed")).alias("c"), "n_slots")).alias("m"))

@@ -221,6 +221,17 @@ def test_leaks_find_other_numbers_names_and_units(spark):
     assert shuffled == set(got) and leaks.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_other_letter_case(spark):
+    low = "the heavy train carries coal over the old bridge while two drivers count every wagon before night falls"
+    named = "we know that Anna sold 12 baskets to Peter and then walked 3 km home along the river bank with her dog"
+    bench = spark.createDataFrame([(1, low), (2, named), (3, low.upper().replace("COAL", "GRAIN"))], "item_id long, text string")
+    other = named.title().replace("12", "40").replace("3 Km", "9 Miles")
+    docs = spark.createDataFrame([(1, low.upper()), (2, low.title()), (3, named.upper()), (4, named.lower()), (5, other), (6, low.replace("coal", "grain"))],
+                                 "doc_id long, text string")
+    got = {(r["id"], r["item_id"]) for r in leaks.leaks(docs, bench).collect()}
+    assert got >= {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3)} and not {(i, 2) for i in (1, 2, 6)} & got
+
+
 # ------------------------------------------------------------------ 10 language models
 def test_entropy_losses_are_distributions_and_tell_corpora_apart(spark):
     rows = [(i, ("abab " * 20) if i % 2 else ("cdcd " * 20)) for i in range(40)] + [(100, None), (101, "")]
