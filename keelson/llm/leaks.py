@@ -11,6 +11,8 @@ case, is found too.
   of 8 tokens or more holds such a window. It is found by it if it agrees in one form; a copy that changes letter case and names at once
   needs a window without a changed name. Windows in which over half of the tokens are placeholders say nothing and are left out.
 * Window hashes meet in one hash join. Hits are reduced to (document, item, offset) before the aligned tokens are compared.
+* The longest run that agrees and is consistent is taken: a run ends at a token that does not agree, and where a slot contradicts an earlier
+  slot of the run, the next run starts after that earlier slot.
 * The benchmark side is broadcast if it has at most `BROADCAST_ROWS` windows, the hits if they are as few; else both are shuffled.
 
 Defined cases: null and empty texts leak nothing; items of fewer than `SHORTEST` = 8 tokens identify nothing and never match; copies of a
@@ -123,26 +125,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def judged(both: DataFrame, items: DataFrame, run: int) -> DataFrame:
-    """Aligned tokens (dt, dw, dr against it, iw, ir) -> the longest matching run, its slots, and the decision."""
-    step = F.lit(1)
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"), F.lit(0).alias("at"))
-
-    def grow(a: Column, equal: Column) -> Column:
-        now = F.when(equal, a["now"] + step).otherwise(0)
-        longer = now > a["best"]
-        return F.struct(now.alias("now"), F.when(longer, now).otherwise(a["best"]).alias("best"),
-                        F.when(longer, a["at"] + step).otherwise(a["end"]).alias("end"), (a["at"] + step).alias("at"))
-
-    equal = F.transform(F.arrays_zip("it", "dt", "iw", "dw", "ir", "dr"), lambda p: (p["it"] == p["dt"]) | (p["iw"] == p["dw"]) | (p["ir"] == p["dr"]))
-    found = both.withColumn("r", F.aggregate(equal, zero, grow)).withColumn("from", F.col("r.end") - F.col("r.best") + 1).where("r.best > 0")
-    part = {c: F.slice(c, F.col("from"), F.col("r.best")) for c in ("it", "iw", "ir", "dr")}
-    found = found.withColumns(part).withColumn("pairs", F.arrays_zip("it", "iw", "ir", "dr"))
-    slots = F.transform(F.filter("pairs", lambda p: is_slot(p["it"]) | is_slot(p["iw"])), lambda p: F.struct(F.concat(p["it"], p["ir"]).alias("i"), p["dr"].alias("d")))
-    found = found.withColumn("slots", slots)
-    consistent = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
+    """Aligned tokens (dt, dw, dr against it, iw, ir) -> the longest matching and consistent run, its slots, and the decision.
+
+    Each bound (at, low) says that a run which holds the token `at` starts at `low` or later. For slots, only neighbours in the order by
+    item value and place are compared: a run that holds two contradicting slots of one value holds two such neighbours.
+    """
+    pairs = F.arrays_zip(*[F.col(c) for c in ("it", "dt", "iw", "dw", "ir", "dr")])
+    placed = both.withColumn("pairs", pairs).withColumn("slots", F.array_sort(F.filter(F.transform("pairs", lambda p, k: F.when(
+        is_slot(p["it"]) | is_slot(p["iw"]), F.struct(F.concat(p["it"], p["ir"]).alias("i"), k.alias("at"), p["dr"].alias("d")))), lambda x: x.isNotNull())))
+    unequal = F.filter(F.transform("pairs", lambda p, k: F.when(~((p["it"] == p["dt"]) | (p["iw"] == p["dw"]) | (p["ir"] == p["dr"])),
+                                                                F.struct(k.alias("at"), (k + 1).alias("low")))), lambda x: x.isNotNull())
+    shifted = F.zip_with("slots", F.slice("slots", 2, F.greatest(F.size("slots") - 1, F.lit(0))), lambda x, y: F.when(
+        (x["i"] == y["i"]) & (x["d"] != y["d"]), F.struct(y["at"].alias("at"), (x["at"] + 1).alias("low"))))
+    last = F.array(F.struct(F.size("pairs").alias("at"), F.size("pairs").alias("low")))
+    bounds = F.array_sort(F.concat(unequal, F.filter(shifted, lambda x: x.isNotNull()), last))
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("best"), F.lit(0).alias("from"))
+
+    def grow(a: Column, x: Column) -> Column:
+        longer = x["at"] - a["start"] > a["best"]
+        return F.struct(F.greatest(a["start"], x["low"]).alias("start"), F.when(longer, x["at"] - a["start"]).otherwise(a["best"]).alias("best"),
+                        F.when(longer, a["start"]).otherwise(a["from"]).alias("from"))
+
+    found = placed.withColumn("r", F.aggregate(bounds, zero, grow)).where("r.best > 0").withColumn("pairs", F.slice("pairs", F.col("r.from") + 1, F.col("r.best")))
+    found = found.withColumn("slots", F.filter("pairs", lambda p: is_slot(p["it"]) | is_slot(p["iw"])))
     whole = items.select("item_id", F.size("it").alias("n_item")).groupBy("item_id").agg(F.min("n_item").alias("n_item"))
-    changed = F.size(F.filter("pairs", lambda p: (is_slot(p["it"]) | is_slot(p["iw"])) & (p["ir"] != p["dr"])))
-    kept = found.where(consistent).select("id", "th", "item_id", F.col("r.best").alias("matched"), F.size("slots").alias("n_slots"), changed.alias("changed"))
+    changed = F.size(F.filter("slots", lambda p: p["ir"] != p["dr"]))
+    kept = found.select("id", "th", "item_id", F.col("r.best").alias("matched"), F.size("slots").alias("n_slots"), changed.alias("changed"))
     kept = kept.join(whole, "item_id").where(F.col("matched") >= F.least(F.col("n_item"), F.lit(run)))
     best = kept.groupBy("id", "th", "item_id", "n_item").agg(F.max(F.struct("matched", (-F.col("changed")).alias("c"), "n_slots")).alias("m"))
     return best.select("id", "th", "item_id", F.col("m.matched").alias("matched"), F.col("n_item").alias("n_tokens"), F.col("m.n_slots").alias("n_slots"),

@@ -232,6 +232,45 @@ def test_leaks_in_other_letter_case(spark):
     assert got >= {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3)} and not {(i, 2) for i in (1, 2, 6)} & got
 
 
+def test_leaks_longest_consistent_run(spark):
+    draw = random.Random(3)
+    plain = [f"word{chr(97 + draw.randrange(26))}{chr(97 + draw.randrange(26))}{chr(97 + k % 26)}" for k in range(60)]
+    words = [*plain[:8], "7", *plain[8:40], "7", *plain[40:]]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    once, cut = list(words), [*words[:15], "5", *words[16:24], "other", *words[25:32], "another", *words[33:38], "third", *words[39:45]]
+    once[8] = "9"                                                  # the 7 after it is kept: tokens 9 to the end are consistent
+    df = spark.createDataFrame([(1, " ".join(once)), (2, " ".join(cut)), (3, " ".join(words))], "doc_id long, text string")
+    got = {r["id"]: (r["matched"], r["changed"]) for r in leaks.leaks(df, bench).collect()}
+    assert got == {1: (len(words) - 9, 0), 2: (15, 0), 3: (len(words), 0)}
+
+
+def test_leaks_longest_consistent_run_against_all_runs(spark):
+    draw = random.Random(4)
+    item = [draw.choice(["10", "20", "30", "rain", "snow", "wind", "sun", "ice"]) for _ in range(60)]
+    rows = []
+    for i in range(40):
+        rows.append((i, [draw.choice(["10", "20", "30"]) if w.isdigit() and draw.random() < 0.15 else ("fog" if draw.random() < 0.02 else w) for w in item]))
+
+    def longest(other):
+        best = 0
+        for a in range(60):
+            seen = {}
+            for b in range(a, 60):
+                x, y = item[b], other[b]
+                if x.isdigit() != y.isdigit() or (not x.isdigit() and x != y) or seen.setdefault(x, y) != y:
+                    break
+                best = max(best, b - a + 1)
+        return best
+
+    names = ("it", "iw", "ir", "dt", "dw", "dr")
+    forms = [[leaks.NUMBER if w.isdigit() else w for w in x] for x in (item, *[o for _, o in rows])]
+    data = [(i, 0, 1, forms[0], forms[0], item, forms[i + 1], forms[i + 1], o) for i, o in rows]
+    both = spark.createDataFrame(data, "id long, th long, item_id long, " + ", ".join(f"{c} array<string>" for c in names))
+    got = {r["id"]: r["matched"] for r in leaks.judged(both, both.select("item_id", "it").limit(1), 13).collect()}
+    want = {i: longest(o) for i, o in rows}
+    assert got == {i: n for i, n in want.items() if n >= 13} and 5 < len(got)
+
+
 # ------------------------------------------------------------------ 10 language models
 def test_entropy_losses_are_distributions_and_tell_corpora_apart(spark):
     rows = [(i, ("abab " * 20) if i % 2 else ("cdcd " * 20)) for i in range(40)] + [(100, None), (101, "")]
