@@ -9,13 +9,17 @@ case, is found too.
 
 * Windows of `WINDOW` = 6 tokens are hashed in both forms: all windows of the items, every `STRIDE` = 3rd of the documents. Any common run
   of 8 tokens or more holds such a window. It is found by it if it agrees in one form; a copy that changes letter case and names at once
-  needs a window without a changed name. Windows in which over half of the tokens are placeholders say nothing and are left out.
+  needs a window without a changed name. A template in which over half of the tokens are placeholders says nothing and is not hashed;
+  where numbers and units alone are over half, the raw tokens are. Next to such a window of a document, each window is hashed, not every
+  third, so that a run with other values is found by any window that does say something.
+* Items of fewer than `SHORTEST` = 8 tokens are matched whole, by a hash of their raw tokens, at every place of a document.
 * Window hashes meet in one hash join. Hits are reduced to (document, item, offset) before the aligned tokens are compared.
 * The longest run that agrees and is consistent is taken: a run ends at a token that does not agree, and where a slot contradicts an earlier
   slot of the run, the next run starts after that earlier slot.
 * The benchmark side is broadcast if it has at most `BROADCAST_ROWS` windows, the hits if they are as few; else both are shuffled.
 
-Defined cases: null and empty texts leak nothing; items of fewer than `SHORTEST` = 8 tokens identify nothing and never match; copies of a
+Defined cases: null and empty texts leak nothing; items without a word or number never match, and those of fewer than `SHORTEST` = 8 tokens only as they
+are (changed is 0), however common their words; copies of a
 benchmark item match each under its own id, and repeated rows of one id and text count once; documents with one id and different texts are
 compared apart and reported under that id; an empty table on either side gives an empty result; extra columns are ignored.
 """
@@ -68,16 +72,25 @@ def is_slot(token: Column) -> Column:
     return token.isin(NAME, NUMBER, UNIT)
 
 
-def windows(template: Column, worded: Column, stride: int) -> Column:
-    """Array of (at, hash) over windows of WINDOW tokens, in both forms where these differ; the hash is null where over half are placeholders."""
-    starts = F.when(F.size(template) >= WINDOW, F.sequence(F.lit(0), F.size(template) - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def heavy(part: Column) -> Column:
+    return 2 * F.size(F.filter(part, is_slot)) > WINDOW
 
-    def hashed(part: Column) -> Column:
-        return F.when(2 * F.size(F.filter(part, is_slot)) <= WINDOW, F.xxhash64(part))
+
+def windows(side: str, stride: int) -> Column:
+    """Array of (at, hash) over windows of WINDOW tokens, from the columns of tokens(); the hash is null where a form is not hashed."""
+    template, worded, raw = (F.col(side + c) for c in ("t", "w", "r"))
+    last = F.size(template) - WINDOW
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    if stride > 1:
+        # where a regular window is heavy, also those up to the regular ones on both sides of it
+        around = F.flatten(F.transform(F.filter(starts, lambda i: heavy(F.slice(template, i + 1, WINDOW))),
+                                       lambda i: F.sequence(F.greatest(i - stride + 1, F.lit(0)), F.least(i + stride - 1, last))))
+        starts = F.array_union(starts, around)
 
     def window(i: Column) -> Column:
-        one, two = F.slice(template, i + 1, WINDOW), F.slice(worded, i + 1, WINDOW)
-        return F.array(F.struct(i.alias("at"), hashed(one).alias("hash")), F.struct(i.alias("at"), F.when(one != two, hashed(two)).alias("hash")))
+        one, two, three = (F.slice(c, i + 1, WINDOW) for c in (template, worded, raw))
+        return F.array(F.struct(i.alias("at"), F.when(~heavy(one), F.xxhash64(one)).alias("hash")),
+                       F.struct(i.alias("at"), F.when(heavy(two), F.xxhash64(three)).when(one != two, F.xxhash64(two)).alias("hash")))
 
     return F.flatten(F.transform(starts, window))
 
@@ -90,15 +103,33 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def candidates(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(nk, th, item_id, n, offset): offsets at which a document shares a window with an item of n tokens."""
-    known = items.select("item_id", F.size("it").alias("n"), F.explode(windows(F.col("it"), F.col("iw"), 1)).alias("w"))
+    known = items.select("item_id", F.size("it").alias("n"), F.explode(windows("i", 1)).alias("w"))
     known = materialise(known.select("item_id", "n", F.col("w.at").alias("i"), F.col("w.hash").alias("hash")).where("hash is not null"))
     side = F.broadcast(known) if known.count() <= broadcast_rows else known
-    seen = docs.select("nk", "th", *tokens(F.col("text"), "d")[:2])
-    seen = seen.select("nk", "th", F.explode(windows(F.col("dt"), F.col("dw"), STRIDE)).alias("w")).select("nk", "th", F.col("w.at").alias("d"), F.col("w.hash").alias("hash"))
+    seen = docs.select("nk", "th", *tokens(F.col("text"), "d"))
+    seen = seen.select("nk", "th", F.explode(windows("d", STRIDE)).alias("w")).select("nk", "th", F.col("w.at").alias("d"), F.col("w.hash").alias("hash"))
     hits = seen.join(side, "hash").select("nk", "th", "item_id", "n", (F.col("d") - F.col("i")).alias("offset"))
     return hits.distinct()
 
 
+def short_leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """Rows of leaks() for items of fewer than SHORTEST tokens; None if there are none."""
+    known = materialise(items.select("item_id", F.size("ir").alias("n"), F.xxhash64("ir").alias("hash")).distinct())
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())          # fewer than SHORTEST numbers
+    if not lengths:
+        return None
+    side = F.broadcast(known) if known.count() <= broadcast_rows else known
+
+    def places(n: int) -> Column:
+        starts = F.when(F.size("dr") >= n, F.sequence(F.lit(1), F.size("dr") - n + 1, F.lit(1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("dr", i, n)).alias("hash"))))
+
+    seen = docs.select("id", "th", raw_tokens(F.col("text")).alias("dr"))
+    seen = seen.select("id", "th", F.explode(F.concat(*[places(n) for n in lengths])).alias("w")).select("id", "th", "w.n", "w.hash")
+    found = seen.join(side, ["n", "hash"]).groupBy("id", "th", "item_id").agg(F.max("n").alias("matched"))
+    return found.select("id", "th", "item_id", "matched", F.col("matched").alias("n_tokens"), F.lit(0).alias("n_slots"), F.lit(0).alias("changed"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
           run: int = RUN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, th, item_id, matched, n_tokens, n_slots, changed): leaked items of each document (id and text hash), the longest run of each.
@@ -106,8 +137,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     `changed` counts the slots whose value differs from the item's: 0 for a plain copy.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).alias("t")).distinct()
-    items = materialise(items.select("item_id", *tokens(F.col("t"), "i")).where(F.size("it") >= SHORTEST))
+    every = materialise(items.select("item_id", *tokens(F.col("t"), "i")).where(F.array_join("ir", "") != ""))
+    items = every.where(F.size("it") >= SHORTEST)
     texts = keyed(docs, key, text)
+    short = short_leaks(texts, every.where(F.size("it") < SHORTEST), broadcast_rows)
     found = candidates(texts, items, broadcast_rows)
     places = materialise(found.groupBy("nk", "th").agg(F.collect_list(F.struct("item_id", "n", "offset")).alias("places")))
     side = F.broadcast(places) if places.count() <= broadcast_rows else places
@@ -121,7 +154,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     apart = there.select("id", "th", F.explode(F.transform("places", aligned)).alias("p")).select("id", "th", "p.*")
     both = apart.join(items, "item_id").withColumns({c: F.slice(c, F.col("first") + 1, F.size("dt")) for c in ("it", "iw", "ir")})
-    return judged(both, items, run)
+    return judged(both, items, run) if short is None else longest(judged(both, items, run).unionByName(short))
+
+
+def longest(found: DataFrame) -> DataFrame:
+    """One row of each (id, th, item_id), for ids that have both long and short texts."""
+    rest = F.struct("matched", (-F.col("changed")).alias("c"), "n_tokens", "n_slots")
+    best = found.groupBy("id", "th", "item_id").agg(F.max(rest).alias("m"))
+    return best.select("id", "th", "item_id", "m.matched", "m.n_tokens", "m.n_slots", (-F.col("m.c")).alias("changed"))
 
 
 def judged(both: DataFrame, items: DataFrame, run: int) -> DataFrame:

@@ -271,6 +271,21 @@ def test_leaks_longest_consistent_run_against_all_runs(spark):
     assert got == {i: n for i, n in want.items() if n >= 13} and 5 < len(got)
 
 
+def test_leaks_of_items_full_of_slots_and_of_short_items(spark):
+    sums = "12 + 30 = 42 and 17 + 25 = 42 and 81 - 39 = 42 and 6 x 7 = 42"
+    people = "Anna, Peter, Maria, Robert, Alice, Martin, Julia, Thomas, Laura, Simon, Helen, Oscar, Emma, Victor"
+    table = "3 4 5 6 7 8 red 9 10 green 11 blue 12 13 14 15 16"
+    items = [(1, sums), (2, people), (3, table), (4, "too short to tell"), (5, " ... "), (6, "What is 6 x 7?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10 * i + k, pad + t + " and so on to the end of it") for i, t in items for k, pad in enumerate(["", "well ", "well then ", "well then now "])]
+    changed = table.replace("4 5", "44 55").replace("10", "100").replace("14 15", "140 150")
+    rows += [(101 + k, pad + changed) for k, pad in enumerate(["", "well ", "well then "])] + [(200, "too short, to TELL"), (201, "too short to say"), (202, "a b " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (leaks.BROADCAST_ROWS, 0):
+        got = {(r["id"], r["item_id"]) for r in leaks.leaks(docs, bench, broadcast_rows=limit).collect()}
+        assert got == {(10 * i + k, i) for i in (1, 2, 3, 4, 6) for k in range(4)} | {(101 + k, 3) for k in range(3)} | {(200, 4)}
+
+
 # ------------------------------------------------------------------ 10 language models
 def test_entropy_losses_are_distributions_and_tell_corpora_apart(spark):
     rows = [(i, ("abab " * 20) if i % 2 else ("cdcd " * 20)) for i in range(40)] + [(100, None), (101, "")]
