@@ -1,6 +1,7 @@
 """Splits, headlines, stories, names, generated-text checks - with brute force where SQL gives no oracle."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -122,3 +123,22 @@ def test_damped_trend_follows_a_seasonal_series(spark):
 def test_lexicon(spark):
     df = spark.createDataFrame([("Record profit and growth",), ("Sued after data breach",), ("Board meets",)], "t string")
     assert [r["x"] for r in df.select(texts.lexicon_label("t").alias("x")).collect()] == ["positive", "negative", "neutral"]
+
+
+def test_resolution_equals_all_pairs(spark):
+    draw = random.Random(6)
+    vocabulary = ["Global", "Pacific", "Energy", "Data", "Steel", "First", "National", "Bank", "Water", "Blue", "Solar", "Ridge"]
+    names = [" ".join(draw.sample(vocabulary, draw.randint(1, 5))) + draw.choice(["", " Inc", " Corp", " #00012", " #00013"]) for _ in range(120)]
+    co = spark.createDataFrame([(i, n, f"T{i}", None) for i, n in enumerate(names)], "cik long, name string, ticker string, former_names array<string>")
+    asked = [draw.choice(names).replace(*draw.choice([("a", "e"), ("e", ""), (" ", "  "), ("l", "ll")])) for _ in range(40)]
+    asked += [" ".join(draw.sample(vocabulary, 6)) for _ in range(10)] + ["t7", "Bnk", "zz", ""]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    pairs = q.crossJoin(resolve.aliases(co)).withColumn("score", resolve.similarity(F.col("query"), F.col("alias"))).select("query_id", "cik", "score")
+    exact = q.join(co, F.upper("query") == F.upper("ticker")).select("query_id", "cik", F.lit(100.0).alias("score"))
+    want = {}
+    for r in pairs.union(exact).groupBy("query_id", "cik").agg(F.max("score").alias("s")).where("s >= 60").collect():
+        want.setdefault(r["query_id"], []).append((-r["s"], r["cik"]))
+    got = {}
+    for r in resolve.resolve(q, co).orderBy("query_id", "position").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["cik"]))
+    assert got == {i: sorted(x)[:8] for i, x in want.items()} and len(got) > 45
