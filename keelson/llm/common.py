@@ -34,6 +34,14 @@ def remainder(col, mod: int):
     return F.crc32(col.cast("string")) % mod
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` is called so: internal columns never meet the caller's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def add_columns(df: DataFrame, column: str, out: T.StructType, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """`df` with the fields of `out` computed from one column, batch by batch in Arrow.
 

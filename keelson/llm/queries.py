@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, entropy, language, leaks, lines, mixing, quality, simhash, token_counts, vectors
+from keelson.llm import chat, divergence, entropy, language, leaks, lines, mixing, oracles, phrases, quality, sharding, simhash, token_counts, vectors
 from keelson.llm.common import ready, remainder, table
 
 
@@ -76,5 +76,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.score(docs, symbols, losses).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_chat_format, op3_nearest, op4_mixture, op5_lines, op6_token_counts, op7_quality, op8_simhash, op9_leaks, op10_lm_score)}
-ORACLES: dict[str, str] = {}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(ready(spark), sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(table(ready(spark), sf_dir, "documents").select("doc_id", "text"), 8)
+    return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(ready(spark), sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_chat_format, op3_nearest, op4_mixture, op5_lines, op6_token_counts, op7_quality, op8_simhash, op9_leaks,
+                                   op10_lm_score, op11_phrases, op12_sharding, op13_source_audit)}
+ORACLES: dict[str, str] = {"op11_phrases": oracles.COLLOCATIONS, "op13_source_audit": oracles.SOURCE_AUDIT}
