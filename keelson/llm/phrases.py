@@ -1,16 +1,18 @@
-"""Collocations by Toivonen mining: a sample proposes, a full pass counts proposals and their negative border, failures expand it.
+"""Collocations by Toivonen mining: a sample proposes, full passes count proposals and their negative border, failures are expanded.
 
 Words are counted per language inside pieces (texts cut at punctuation and line ends). A phrase of k words can only be frequent if its first
 and last k - 1 words are. So, for a set P of proposed phrases, the occurrences worth counting are those whose two (k-1)-word parts are both
 in P: this is P itself with its negative border, and a border phrase need not be written down before it is met.
 
-* Sample: `SHARE` of the documents, chosen by a hash, mined level by level at a lowered threshold. It only decides how many passes follow.
-* Full pass: every document is read; each task counts the phrases of P and its border, and Spark sums the counts.
-* Expansion: a frequent phrase outside P is a border failure. P grows by the failures and the next full pass counts only what that newly
-  lets in, until a pass brings no failure. All counts are exact then, and no frequent phrase is missing.
+* Sample: `SHARE` of the documents, chosen by a hash, mined level by level at a lowered threshold. It decides the work, not the result.
+* Full pass: every document is read, and P and its border are counted by the 64-bit hash of the phrase. A hash counts its phrase and
+  whatever else falls on it, so hashes below the threshold hold no frequent phrase; the others (Q) do, or nearly always do.
+* Expansion: a phrase of Q outside P is a border failure. The next pass reads every document again and counts, now by the words themselves, the
+  phrases of Q, and all longer phrases that the failures let in: those made of parts that are in Q or were not counted before. Whatever is
+  frequent is among them, since its parts are, so the set is closed after this pass, and its counts are exact.
 
-P is held as a bit table of fixed size (`BITS`), whatever the corpus: a false positive makes a pass count a phrase more, never one less.
-It is the only thing that is sent to all tasks. Inside a task phrases are numbered exactly, not hashed, and a chunk of at most `CHUNK`
+P and Q are bit tables of a fixed size (`BITS`), whatever the corpus: a false positive makes a pass count a phrase more, never one less.
+They are the only things that are sent to all tasks. Inside a task phrases are numbered exactly, and a chunk of at most `CHUNK`
 bytes of one language is held at a time (long texts are cut between pieces).
 
 Scores are whole numbers from decimals of 38 digits. Cuts are joined to the counts of their parts; counts of single words, which may
@@ -36,10 +38,10 @@ from keelson.session import materialise
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SHARE = 1 / 8                                     # of the documents, for proposals
-BITS = 1 << 26                                    # of the table of proposals: 8 MB
-CHUNK = 6 << 20
+BITS = 1 << 26                                    # of a table of phrases: 8 MB
+CHUNK = 8 << 20
 SALTS = 16
-SEED = 42                                         # of XXH64 in Spark and here
+SEED, SHIFTS = 42, (0, 19, 38)
 UNKNOWN_LANGUAGE = "und"
 COUNTED = "lang string, k int, phrase string, f long"
 #: Piece ends become line feeds, A-Z become lower case.
@@ -47,81 +49,81 @@ FOLD = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else
 STOP = b"."                                       # cannot stand inside a word
 
 
-class Proposals:
-    """The bit table: 64-bit hash -> three bits. Grows by `with_bits`; a set that grows keeps every bit it had."""
+class PhraseSet:
+    """A bit table of phrase hashes, three bits each."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @classmethod
-    def empty(cls, bits: int = BITS) -> Proposals:
+    def empty(cls, bits: int = BITS) -> PhraseSet:
         return cls(np.zeros(bits // 64, dtype=np.uint64))
 
-    def places(self, hashes: np.ndarray) -> list[np.ndarray]:
-        mask = np.uint64(len(self.words) * 64 - 1)
-        return [(hashes >> np.uint64(s)) & mask for s in (0, 19, 38)]
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), dtype=bool)
-        for p in self.places(hashes):
+        mask, found = np.uint64(len(self.words) * 64 - 1), np.ones(len(hashes), dtype=bool)
+        for s in SHIFTS:
+            p = (hashes >> np.uint64(s)) & mask
             found &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return found
 
+    def with_all(self, hashes: DataFrame) -> PhraseSet:
+        """This set and all of `hashes` (h). The bits are made in Spark; at most BITS / 64 rows come back."""
+        mask = len(self.words) * 64 - 1
+        bit = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit(mask)) for s in SHIFTS])).alias("bit"))
+        rows = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+        words = self.words.copy()
+        words[rows.column("word").to_numpy()] |= rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+        return PhraseSet(words)
 
-def hash_of(lang: Column, phrase: Column) -> Column:
-    return F.xxhash64(F.concat(lang, F.lit("\n"), phrase))
 
+def longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase with one word more."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def with_bits(table: Proposals, phrases: DataFrame) -> Proposals:
-    """`table` with the bits of all phrases (lang, phrase): set in Spark, at most BITS / 64 rows come back."""
-    mask = len(table.words) * 64 - 1
-    h = hash_of(F.col("lang"), F.col("phrase"))
-    bit = phrases.select(F.explode(F.array(*[F.shiftrightunsigned(h, s).bitwiseAND(F.lit(mask)) for s in (0, 19, 38)])).alias("bit"))
-    rows = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    words = table.words.copy()
-    words[rows.column("word").to_numpy()] |= rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return Proposals(words)
 
+def chunk_levels(lang: str, folded: bytes, proposed: PhraseSet, possible: PhraseSet | None = None) -> Iterator[tuple]:
+    """(k, hashes, counts, phrases) of the phrases of folded text that are worth counting.
 
-def chunk_counts(lang: str, folded: bytes, proposed: Proposals, counted: Proposals | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(k, phrases, counts) of a chunk of folded text: what `proposed` lets in and `counted` did not; (0, [b""], [n]) has the words."""
+    Without `possible`: `proposed` and its border, no phrases. With it: phrases that are possible or could not be counted before.
+    """
     tokens = np.array([STOP, *folded.replace(b"\n", b" . ").split(), STOP], dtype=object)
     codes, vocabulary = pd.factorize(tokens)                    # code 0 is STOP
     words = vocabulary.tolist()
     prefix = lang.encode("utf-8", "surrogatepass") + b"\n"
-    digest = xxhash.xxh64_intdigest
-
-    def members(phrases: list[bytes], was: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.fromiter((digest(prefix + p, SEED) for p in phrases), dtype=np.uint64, count=len(phrases))
-        return proposed.has(hashes), was & counted.has(hashes) if counted is not None else np.zeros(len(phrases), dtype=bool)
-
-    if counted is None and len(words) > 1:
-        n = np.bincount(codes, minlength=len(words))
-        yield 0, [b""], np.array([n[1:].sum()])
-        yield 1, words[1:], n[1:]
-    new, old = members(words, np.ones(len(words), dtype=bool))  # old: met by the passes before, and let through by them
-    new[0] = old[0] = False
-    at = np.flatnonzero(new[codes])                             # where a proposed phrase starts
-    ids, phrases = codes[at], words
+    own = np.fromiter((xxhash.xxh64_intdigest(prefix + w, SEED) for w in words), dtype=np.uint64, count=len(words))
+    counts = np.bincount(codes, minlength=len(words))
+    # reach: counted by the first pass, and let on by it to longer phrases; alive: let on by this pass
+    reach = proposed.has(own)
+    alive = reach.copy() if possible is None else possible.has(own)
+    reach[0] = alive[0] = False
+    told = np.arange(1, len(words)) if possible is None else np.flatnonzero(alive)
+    yield 1, own[told], counts[told], [words[i] for i in told] if possible is not None else None
+    at = np.flatnonzero(alive[codes])                           # where a phrase that goes on starts
+    ids, h, phrases = codes[at], own, words
     for k in range(2, LONGEST + 1):
-        flag = np.flatnonzero(at[1:] == at[:-1] + 1)            # the phrase that starts one word later is proposed too
+        flag = np.flatnonzero(at[1:] == at[:-1] + 1)            # the phrase that starts one word later goes on, too
         if not len(flag):
             return
-        starts = at[flag]
-        pair = ids[flag].astype(np.int64) * len(words) + codes[starts + k - 1]
-        before = old[ids[flag]] & old[ids[flag + 1]]
-        ids, unique = pd.factorize(pair)
-        was = np.zeros(len(unique), dtype=bool)
-        was[ids] = before                                       # equal phrases have equal parts
-        phrases = [phrases[u // len(words)] + b" " + words[u % len(words)] for u in unique.tolist()]
-        fresh = np.flatnonzero(~was)
-        if len(fresh):
-            yield k, [phrases[i] for i in fresh], np.bincount(ids, minlength=len(unique))[fresh]
-        if k == LONGEST:
-            return
-        new, old = members(phrases, was)
-        go = new[ids]
-        at, ids = starts[go], ids[go]
+        starts, second = at[flag], ids[flag + 1]
+        new, unique = pd.factorize(ids[flag].astype(np.int64) * len(words) + codes[starts + k - 1])
+        first, last, other = unique // len(words), unique % len(words), np.empty(len(unique), dtype=np.int64)
+        other[new] = second                                     # equal phrases have equal parts
+        counts = np.bincount(new, minlength=len(unique))
+        counted = reach[first] & reach[other]
+        h = longer(h[first], own[last])
+        reach = counted & proposed.has(h)
+        if possible is None:
+            alive, phrases = reach, None
+            yield k, h, counts, None
+        else:
+            alive = possible.has(h) | ~counted
+            phrases = [phrases[a] + b" " + words[b] if go else None for a, b, go in zip(first.tolist(), last.tolist(), alive.tolist(), strict=True)]
+            told = np.flatnonzero(alive)
+            yield k, h[told], counts[told], [phrases[i] for i in told]
+        go = alive[new]
+        at, ids = starts[go], new[go]
 
 
 def _folded_parts(texts: Iterator[str]) -> Iterator[bytes]:
@@ -146,62 +148,83 @@ def _folded_parts(texts: Iterator[str]) -> Iterator[bytes]:
         yield b"\n".join(held)
 
 
-def count_pass(docs: DataFrame, proposed: Proposals, counted: Proposals | None) -> DataFrame:
-    """(lang, k, phrase, f) over all of `docs` (text, lang): phrases of `proposed` and its border that `counted` did not let in."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((proposed, counted))
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(language, folded text) of a task's rows, in chunks; few bytes wait at a time, whatever the number of languages."""
+    waiting: dict[str, list[str]] = {}
+    size: dict[str, int] = {}
+
+    def flush(lang: str) -> Iterator[tuple[str, bytes]]:
+        size.pop(lang)
+        for folded in _folded_parts(iter(waiting.pop(lang))):
+            yield lang, folded
+
+    for b in batches:
+        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+            waiting.setdefault(lang, []).append(text)
+            size[lang] = size.get(lang, 0) + len(text)
+            if size[lang] >= CHUNK:
+                yield from flush(lang)
+        while sum(size.values()) > 2 * CHUNK:                   # many languages: the largest goes first
+            yield from flush(max(size, key=size.get))
+    for lang in list(waiting):
+        yield from flush(lang)
+
+
+def hash_counts(docs: DataFrame, proposed: PhraseSet, only: int | None = None) -> DataFrame:
+    """(h, f): occurrences of the phrases of `proposed` and its border, by hash; of `only` words, if given."""
+    sent = docs.sparkSession.sparkContext.broadcast(proposed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = sent.value
-        waiting: dict[str, list[str]] = {}
-        size: dict[str, int] = {}
-
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            size.pop(lang)
-            for folded in _folded_parts(iter(waiting.pop(lang))):
-                for k, phrases, n in chunk_counts(lang, folded, now, before):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)),
-                                                      pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))],
-                                                     names=["lang", "k", "phrase", "f"])
-        for b in batches:
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                waiting.setdefault(lang, []).append(text)
-                size[lang] = size.get(lang, 0) + len(text)
-                if size[lang] >= CHUNK:
-                    yield from flush(lang)
-            while sum(size.values()) > 2 * CHUNK:               # many languages: the largest goes first
-                yield from flush(max(size, key=size.get))
-        for lang in list(waiting):
-            yield from flush(lang)
+        for lang, folded in chunks_of(batches):
+            for k, h, counts, _ in chunk_levels(lang, folded, sent.value):
+                if only in (None, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "f"])
+                if k == only:
+                    break
 
-    return docs.select("text", "lang").mapInArrow(run, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return docs.select("text", "lang").mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
-def closed_counts(docs: DataFrame, least: int, proposed: Proposals) -> DataFrame:
-    """(lang, k, phrase, f) of all phrases that occur `least` times or more, exact, and per language its words with k = 0."""
-    found, counted = None, None
-    while True:
-        passed = materialise(count_pass(docs, proposed, counted).where((F.col("k") == 0) | (F.col("f") >= least)))
-        found = passed if found is None else found.union(passed)
-        grown = with_bits(proposed, passed.where(F.col("k").between(1, LONGEST - 1)))
-        if np.array_equal(grown.words, proposed.words):         # no frequent phrase outside the proposals
-            return found
-        proposed, counted = grown, proposed
+def exact_counts(docs: DataFrame, proposed: PhraseSet, possible: PhraseSet) -> DataFrame:
+    """(lang, k, phrase, f) of possible phrases and of those the first pass could not count; k = 0 has a language's words."""
+    sent = docs.sparkSession.sparkContext.broadcast((proposed, possible))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)),
+                                               pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "k", "phrase", "f"])
+        for lang, folded in chunks_of(batches):
+            yield rows(lang, 0, [b""], np.array([len(folded.replace(b"\n", b" ").split())]))
+            for k, _, counts, phrases in chunk_levels(lang, folded, *sent.value):
+                yield rows(lang, k, phrases, counts)
+
+    return docs.select("text", "lang").mapInArrow(run, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
 def lowered(least: int, share: float) -> int:
-    """Occurrences in the sample that make a phrase a proposal: two standard deviations below the mean at the threshold, 2 at least."""
+    """Occurrences in the sample that make a phrase a proposal: a standard deviation below the mean at the threshold, 2 at least."""
     mean = least * share
-    return max(2, math.floor(mean - 2 * math.sqrt(mean)))
+    return max(2, math.floor(mean - math.sqrt(mean)))
+
+
+def proposals(sample: DataFrame, least: int, bits: int = BITS) -> PhraseSet:
+    """Phrases of 1 to LONGEST - 1 words that occur `least` times or more in the sample, level by level."""
+    found = PhraseSet.empty(bits)
+    for k in range(1, LONGEST):
+        grown = found.with_all(hash_counts(sample, found, k).where(F.col("f") >= least))
+        if np.array_equal(grown.words, found.words):
+            break
+        found = grown
+    return found
 
 
 def frequent(docs: DataFrame, least: int = LEAST, share: float = SHARE, bits: int = BITS) -> DataFrame:
     """(lang, k, phrase, f) of all phrases of 1 to LONGEST words of `docs` (doc_id, text, lang) that occur `least` times or more."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN_LANGUAGE)).alias("lang"))
     drawn = docs.where(F.xxhash64(F.lit("proposals"), "doc_id", F.crc32("text")).bitwiseAND(F.lit(0xFFFF)) < int(share * 0x10000))
-    empty = Proposals.empty(bits)
-    sample = closed_counts(drawn, lowered(least, share), empty)
-    return closed_counts(docs, least, with_bits(empty, sample.where(F.col("k").between(1, LONGEST - 1))))
+    proposed = proposals(drawn, lowered(least, share), bits)
+    possible = PhraseSet.empty(bits).with_all(hash_counts(docs, proposed).where(F.col("f") >= least))
+    return exact_counts(docs, proposed, possible).where((F.col("k") == 0) | (F.col("f") >= least))
 
 
 def part(words: Column, start: Column | int, length: Column) -> Column:
@@ -216,8 +239,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: flo
 
     # a candidate inside a longer one that is as frequent: it is inside one that is longer by one word, too
     inside = phrases.where("k > 2").select("lang", "f", F.explode(F.array(part(F.col("w"), 1, F.col("k") - 1), part(F.col("w"), 2, F.col("k") - 1))).alias("phrase"))
-    longer = inside.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    left = phrases.join(longer, ["lang", "phrase"], "left").where("longer is null or longer < f").drop("longer")
+    within = inside.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+    left = phrases.join(within, ["lang", "phrase"], "left").where("longer is null or longer < f").drop("longer")
 
     cuts = left.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", part(F.col("w"), 1, F.col("cut")).alias("one"), part(F.col("w"), F.col("cut") + 1, F.size("w") - F.col("cut")).alias("two"))

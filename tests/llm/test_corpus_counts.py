@@ -64,17 +64,23 @@ def test_collocations_equal_brute_force(spark, share, bits):
     assert sorted(map(tuple, got)) == brute_collocations(docs, 6, 40)
 
 
-def test_border_failures_add_passes_until_closed(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, "one two three four five six", "en", "s") for i in range(20)], DOC)
-    passes = []
-    whole = phrases.count_pass
-    monkeypatch.setattr(phrases, "count_pass", lambda d, p, c: passes.append(c is None) or whole(d, p, c))
-    found = phrases.closed_counts(docs.select("text", "lang"), 20, phrases.Proposals.empty(1 << 12))
-    assert found.where("k > 0").count() == 6 + 5 + 4 + 3 + 2 and found.count() == 21      # nothing is counted twice
-    assert passes == [True, False, False, False, False]                    # words, then one level a pass
-    passes.clear()
-    full = phrases.with_bits(phrases.Proposals.empty(1 << 12), found.where("k between 1 and 4"))
-    assert phrases.closed_counts(docs.select("text", "lang"), 20, full).count() == 21 and passes == [True]
+def test_border_failures_are_expanded_to_the_end(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six", "en", "s") for i in range(20)], DOC).select("text", "lang")
+    none = phrases.PhraseSet.empty(1 << 12)
+
+    def counted(df):
+        return df.where("f >= 20").count()
+    assert counted(phrases.hash_counts(docs, none)) == 6                   # words and no longer phrase: all of them fail
+    failed = none.with_all(phrases.hash_counts(docs, none))
+    assert counted(phrases.exact_counts(docs, none, failed)) == 1 + 6 + 5 + 4 + 3 + 2
+    proposed = phrases.proposals(docs, 20, 1 << 12)
+    assert counted(phrases.hash_counts(docs, proposed)) == 6 + 5 + 4 + 3 + 2
+    assert counted(phrases.hash_counts(docs, proposed, 3)) == 4
+    possible = none.with_all(phrases.hash_counts(docs, proposed))
+    assert counted(phrases.exact_counts(docs, proposed, possible)) == 21
+    # what the first pass counted below the threshold is not counted again
+    rare = docs.limit(1).union(docs.limit(0))
+    assert phrases.exact_counts(rare, proposed, none).where("k > 0").count() == 0
 
 
 def test_long_texts_are_cut_between_pieces_only(monkeypatch):
@@ -95,7 +101,7 @@ def test_collocations_of_nothing(spark):
 
 
 def test_lowered_threshold():
-    assert phrases.lowered(100, 1 / 8) == math.floor(12.5 - 2 * math.sqrt(12.5)) and phrases.lowered(3, 0.1) == 2
+    assert phrases.lowered(100, 1 / 8) == math.floor(12.5 - math.sqrt(12.5)) and phrases.lowered(3, 0.1) == 2
 
 
 def test_scores_pass_64_bits(spark, monkeypatch):
