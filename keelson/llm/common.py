@@ -42,6 +42,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, **own) -> DataFrame:
+    """The columns `own`, and all columns of `df` as one struct `row`: `select("row.*")` gives them back, whatever their names."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> list:
+    """Select list of the fields `columns` of `row`, with new values for those in `changed`."""
+    return [changed[c].alias(c) if c in changed else df["row"].getField(c).alias(c) for c in columns]
+
+
 def add_columns(df: DataFrame, column: str, out: T.StructType, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """`df` with the fields of `out` computed from one column, batch by batch in Arrow.
 

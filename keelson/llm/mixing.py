@@ -125,9 +125,9 @@ def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_copies: int = MAX_COPIE
     `sources` is a column: the array of the sources a document belongs to.
     """
     spark = docs.sparkSession
-    work = docs.withColumns({"_sources": F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>")),
-                             "mix_size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")})
-    work = work.withColumn("_p", F.to_json("_sources")).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col("_p")))
+    work = packed(docs, key=F.col(key), text=F.col(text), _sources=F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>")),
+                  mix_size=F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    work = work.withColumn("_p", F.to_json("_sources")).withColumn("_h", F.xxhash64(F.lit(seed), "key", "text", "_p")).drop("text")
     small = materialise(work.select("_sources", "_p", "_h", "mix_size"))
     names = {}
     patterns = {}
@@ -174,9 +174,10 @@ def mix(docs: DataFrame, sources, weights=(1, 2, 3), max_copies: int = MAX_COPIE
     base = F.col("_full") * F.col("mix_size")
     plain = placed.where("_side != 0").withColumn("mix_taken", base + F.when(F.col("_side") < 0, F.col("mix_size")).otherwise(0))
     # documents that share all these digits with the cut: one in 2 ** 36 of a pattern, besides repeated rows
-    order = Window.partitionBy("_p").orderBy("_h", "mix_size", key).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_p").orderBy("_h", "mix_size", "key").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = placed.where("_side = 0").withColumn("_used", F.col("_before") + F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
     more = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("_rest") - F.col("_used")))
     split = at_cut.withColumn("mix_taken", base + more)
     kept = [c for c in docs.columns if c.lower() not in ("mix_size", "mix_taken", "mix_sources")]
-    return plain.unionByName(split, allowMissingColumns=True).select(*kept, "mix_size", "mix_taken", "mix_sources")
+    both = plain.unionByName(split, allowMissingColumns=True)
+    return both.select(*unpacked(both, kept), "mix_size", "mix_taken", "mix_sources")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import add_columns, components
+from keelson.llm.common import add_columns, components, packed
 from keelson.session import materialise
 
 DISTANCE, BLOCKS, FAN = 3, 5, 8
@@ -242,18 +242,17 @@ def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE, bl
 
 def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE,
                blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
-    """`df` with one row of each group: the one with the smallest key, and one of its repeated rows if it has any."""
+    """`df` with one row of each group: the one with the smallest key, and of its repeated rows the one with the least text and JSON form."""
     marked = materialise(with_fingerprints(df.select(key, column), column, shingle, wide).withColumnRenamed(key, "_id").drop(column))
     groups = classes(marked, "_id", distance, blocks, wide)
     kept = materialise(marked.join(groups, "_fp").where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "_fp", "_root")
                        .agg(F.count("*").alias("n")))
     # a group keeps one fingerprint of its first key; rows that have just that fingerprint and key are its candidates
     one = kept.groupBy("_root").agg(F.min(F.struct("_id", "_fp", "n")).alias("k")).select("k.*")
-    rows = with_fingerprints(df, column, shingle)
-    rows = rows.join(one, rows["_fp"].eqNullSafe(one["_fp"]) & rows[key].eqNullSafe(one["_id"])).select(*[rows[c] for c in rows.columns], "n")
-    single = rows.where("n = 1")
-    repeated = rows.where("n > 1").dropDuplicates(["_fp", key])
-    return single.union(repeated).select(*df.columns)
+    rows = with_fingerprints(packed(df, key=F.col(key), text=F.col(column)), "text", shingle)
+    rows = rows.join(one, rows["_fp"].eqNullSafe(one["_fp"]) & rows["key"].eqNullSafe(one["_id"])).select("row", "key", "text", rows["_fp"], "n")
+    repeated = rows.where("n > 1").groupBy("_fp", "key").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return rows.where("n = 1").select("row").union(repeated.select("row")).select("row.*")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
