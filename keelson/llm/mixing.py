@@ -21,7 +21,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import WORD
+from keelson.llm.common import WORD, packed, unpacked
 from keelson.session import materialise
 
 BITS, LEVELS = 12, 3

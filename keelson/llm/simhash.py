@@ -5,14 +5,15 @@ Fingerprints: 64 bits of word shingles; a bit is set if it is set in over half o
 Linking: two texts link when their fingerprints differ in at most `distance` = 3 bits.
 
 * Equal fingerprints are one entry with its smallest id, so exact copies never meet each other.
-* The 64 bits are cut into blocks. Two entries that link agree on all but three blocks, so each entry goes to one bucket per choice of
-  the agreeing blocks: with 5 blocks, 10 choices of 2 blocks (25 or 26 bits). Every link is in some bucket. The bucket's bits are part
-  of the shuffle key, so no bucket is a large share of the entries unless these share 25 bits.
-* In a bucket the entries are sorted by Gray rank and grouped by eights, level by level. A node holds the bits its members share (mask
+* The 64 bits are cut into four blocks of 16. Two entries that link agree on one of them, so each entry goes to four buckets. The bucket's
+  bits are part of the shuffle key, so no bucket is a large share of the entries unless these share 16 bits.
+* In a bucket the entries are sorted by Gray rank and grouped by threes, level by level. A node holds the bits its members share (mask
   and pattern). Pairs of nodes go down from the top with the differences of shared bits added up along the way; a pair with more than
   three is dropped with all its members, and a pair that cannot exceed three is linked without looking inside.
-* Near copies of 0.8 and more on five-word shingles differ in up to about ten of 64 bits. The wide form links at 10 bits (13 blocks, of
-  which 3 agree: 286 choices) and, so that unrelated texts do not meet by chance, at 26 of 128 bits with a second word of 64.
+* Near copies (`keep_first(near=True)`): texts of 0.8 or more on five-word shingles differ in about ten of 64 bits. Candidates agree on one of eight
+  blocks and differ in at most 14 bits, and in at most 28 of 128 with a second word; the index finds them in buckets of a 256th of
+  the entries. Every link is then confirmed by the exact Jaccard similarity of the texts, so nothing below 0.8 is removed. The work inside buckets
+  grows with the square of the entries (README has the figures); beyond ten million texts take fewer, longer blocks.
 * A task emits a spanning set of its links (each entry to the smallest of its local group), never all pairs; `components` joins them.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle are one shingle; texts of any
@@ -36,9 +37,11 @@ from pyspark.sql import types as T
 from keelson.llm.common import add_columns, components, packed
 from keelson.session import materialise
 
-DISTANCE, BLOCKS, FAN = 3, 5, 8
-#: Near copies of 0.8 and more on five-word shingles: bits that may differ of the 64 of the index, blocks, and bits of all 128.
-WIDE_DISTANCE, WIDE_BLOCKS, WIDE_TOTAL = 10, 13, 26
+DISTANCE, BLOCKS, FAN = 3, 4, 3
+#: Candidates for near copies of 0.8 and more on five-word shingles: bits that may differ of the 64 of the index, blocks, and bits of all 128.
+WIDE_DISTANCE, WIDE_BLOCKS, WIDE_TOTAL = 14, 8, 28
+SHINGLE, SIMILARITY = 5, 0.8
+BROADCAST_BYTES = 16 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -99,11 +102,12 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, chunk: int = 1 << 20,
-                second: np.ndarray | None = None, total: int = WIDE_TOTAL) -> np.ndarray:
+                second: np.ndarray | None = None, total: int = WIDE_TOTAL, compared: list[int] | None = None) -> np.ndarray:
     """For each entry the number of the first entry of its group, links being within buckets only.
 
     bucket: sorted labels; fps: unsigned, in Gray order within a bucket. With `second` (64 bits more of each entry), a link also needs at
-    most `total` differing bits in both together, and no node is linked without looking inside.
+    most `total` differing bits in both together, and no node is linked without looking inside. `compared` gathers the numbers of nodes and
+    entries that were compared pair by pair.
     """
     n = len(fps)
     root = np.arange(n)
@@ -142,6 +146,8 @@ def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, c
     while stack:
         k, a, b = stack.pop()
         lev = levels[k]
+        if compared is not None:
+            compared.append(len(a))
         shared = lev["mask"][a] & lev["mask"][b]
         apart = np.bitwise_count((lev["both"][a] ^ lev["both"][b]) & shared).astype(np.int64)
         a, b, shared, apart = (x[apart <= distance] for x in (a, b, shared, apart))
@@ -178,20 +184,33 @@ def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, c
     return top(np.arange(n))
 
 
-def choices(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
-    """Masks of the blocks that agree, one per way to choose all but `distance` blocks."""
+def odd_pairs(label: np.ndarray, fps: np.ndarray, second: np.ndarray, odd: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an odd entry and any entry of its bucket that are close in one and both words."""
+    one, two = [], []
+    for i in np.flatnonzero(odd):
+        low, high = np.searchsorted(label, label[i], "left"), np.searchsorted(label, label[i], "right")
+        apart = np.bitwise_count(fps[low:high] ^ fps[i]).astype(np.int64)
+        near = low + np.flatnonzero((apart <= distance) & (apart + np.bitwise_count(second[low:high] ^ second[i]) <= total))
+        one.append(near[near != i])
+        two.append(np.full(len(one[-1]), i))
+    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
+
+
+def choices(blocks: int = BLOCKS, agree: int = 1) -> list[int]:
+    """Masks of the blocks that agree, one per way to choose `agree` of them."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
-    return [sum(c) for c in itertools.combinations(masks, blocks - distance)]
+    return [sum(c) for c in itertools.combinations(masks, agree)]
 
 
-def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
-    """(a, b): links that connect all entries (column _fp, distinct) within `distance` bits, directly or through others.
+def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False, odd: bool = False) -> DataFrame:
+    """(a, b): links that connect all entries (column _fp, distinct) within `distance` bits that agree on a block, directly or through others.
 
-    If `wide`, links also need at most WIDE_TOTAL differing bits in _fp and _fp2 together.
+    If `wide`, links also need at most WIDE_TOTAL differing bits in _fp and _fp2 together. If `odd`, these are all such pairs of which one has
+    `odd` set, instead of links that connect.
     """
-    masks = choices(blocks, distance)
-    second = ["_fp2"] if wide else []
+    masks = choices(blocks)
+    second = (["_fp2"] if wide else []) + (["odd"] if odd else [])
     dealt = entries.select("_fp", *second, F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("c", "m"))
     dealt = dealt.select("c", F.col("_fp").bitwiseAND(F.col("m")).alias("bits"), "_fp", *second)
     gray = F.col("_fp")
@@ -208,13 +227,16 @@ def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wi
                 return None
             label = np.cumsum(np.r_[True, (c[1:upto] != c[:upto - 1]) | (bits[1:upto] != bits[:upto - 1])])
             own = fps[:upto]
+            if odd:
+                one, two = odd_pairs(label, own.view(np.uint64), more[0][:upto].view(np.uint64), more[1][:upto], distance, WIDE_TOTAL)
+                return pa.RecordBatch.from_pydict({"a": pa.array(own[one], pa.int64()), "b": pa.array(own[two], pa.int64())}) if len(one) else None
             group = local_links(label, own.view(np.uint64), distance, second=more[0][:upto].view(np.uint64) if more else None)
             tied = np.flatnonzero(group != np.arange(upto))
             return pa.RecordBatch.from_pydict({"a": pa.array(own[group[tied]], pa.int64()), "b": pa.array(own[tied], pa.int64())}) if len(tied) else None
 
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                held.append(tuple(batch.column(x).to_numpy() for x in ("c", "bits", "_fp", *second)))
+                held.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "bits", "_fp", *second)))
             if held and (batch is None or sum(len(h[0]) for h in held) >= 100_000):
                 columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 c, bits = columns[:2]
@@ -229,22 +251,63 @@ def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wi
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
+def shingle_sets(texts: list) -> list[list]:
+    return [[np.unique(shingle_hashes(t, SHINGLE)).view(np.int64).tolist() for t in texts]]
+
+
+def confirmed(pairs: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts have a Jaccard similarity of SIMILARITY or more over shingles of SHINGLE words.
+
+    marked: (_id, _fp); rows: (key, text). Each fingerprint stands for the text of its smallest id.
+    """
+    wanted = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
+    first = materialise(marked.join(wanted, "_fp", "left_semi").groupBy("_fp").agg(F.min("_id").alias("_id")).withColumnRenamed("_fp", "want"))
+    side = F.broadcast(first) if first.count() * 32 <= BROADCAST_BYTES else first
+    texts = with_fingerprints(rows.join(side, F.col("key").eqNullSafe(F.col("_id"))).select("want", "text"), "text", SHINGLE).where("_fp = want")
+    out = T.StructType([T.StructField("h", T.ArrayType(T.LongType()))])
+    sets = materialise(add_columns(texts.groupBy("want").agg(F.min("text").alias("text")), "text", out, lambda: shingle_sets).select("want", "h"))
+    both = (pairs.join(sets.select(F.col("want").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("want").alias("b"), F.col("h").alias("y")), "b"))
+    x, y = F.size("x"), F.size("y")
+    possible = F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+    common = F.size(F.array_intersect("x", "y"))
+    return materialise(both.where(possible & (common >= SIMILARITY * (x + y - common))).select("a", "b"))
+
+
+def near_copies(marked: DataFrame, rows: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(a, b): links of fingerprints, all confirmed on the texts, that connect the near copies among the index's candidates.
+
+    The index gives links that connect its groups. Where one of them fails on the texts, its entry meets all its candidates instead.
+    """
+    entries = materialise(marked.select("_fp", "_fp2").distinct())
+    stars = materialise(links(entries, distance, blocks, True).where("a != b").distinct())
+    good = confirmed(stars, marked, rows)
+    odd = materialise(stars.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("_fp")).distinct().withColumn("odd", F.lit(True)))
+    flagged = entries.join(odd, "_fp", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    more = links(flagged, distance, blocks, True, True).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialise(more.join(tried, ["a", "b"], "left_anti"))
+    return good.union(confirmed(more, marked, rows))
+
+
+def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, edges: DataFrame | None = None) -> DataFrame:
     """(_fp, _root, component_id): for each fingerprint of `marked` its group, and the smallest `key` of the group."""
     entries = materialise(marked.groupBy("_fp").agg(F.min(key).alias("_id")))
-    # equal first words are one entry of the result; in the wide form each second word that goes with them is indexed
-    indexed = marked.select("_fp", "_fp2").distinct() if wide else entries
-    groups = components(links(indexed, distance, blocks, wide))
+    groups = components(links(entries, distance, blocks) if edges is None else edges)
     named = entries.join(groups, F.col("_fp") == F.col("node"), "left").select("_fp", "_id", F.coalesce("component", "_fp").alias("_root"))
     first = named.groupBy("_root").agg(F.min("_id").alias("component_id"))
     return named.join(first, "_root").select("_fp", "_root", "component_id")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", shingle: int = 3, distance: int = DISTANCE,
-               blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
-    """`df` with one row of each group: the one with the smallest key, and of its repeated rows the one with the least text and JSON form."""
-    marked = materialise(with_fingerprints(df.select(key, column), column, shingle, wide).withColumnRenamed(key, "_id").drop(column))
-    groups = classes(marked, "_id", distance, blocks, wide)
+def keep_first(df: DataFrame, key: str = "doc_id", column: str = "text", near: bool = False) -> DataFrame:
+    """`df` with one row of each group: the one with the smallest key, and of its repeated rows the one with the least text and JSON form.
+
+    Groups link as in `near_duplicates`; if `near`, they are near copies of SIMILARITY on shingles of SHINGLE words, candidates from the
+    index, confirmed on the texts.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))
+    shingle = SHINGLE if near else 3
+    marked = materialise(with_fingerprints(rows, "text", shingle, near).withColumnRenamed("key", "_id").drop("text"))
+    groups = classes(marked, "_id", edges=near_copies(marked, rows, WIDE_DISTANCE, WIDE_BLOCKS) if near else None)
     kept = materialise(marked.join(groups, "_fp").where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "_fp", "_root")
                        .agg(F.count("*").alias("n")))
     # a group keeps one fingerprint of its first key; rows that have just that fingerprint and key are its candidates

@@ -297,43 +297,69 @@ def test_entropy_losses_are_distributions_and_tell_corpora_apart(spark):
     assert got[1] > 0 > got[2] and got[100] == got[101] == 0
 
 
-def test_wide_links_against_all_pairs(spark):
-    draw = random.Random(8)
-    rows = [(0, 0, 0)]
-    for _ in range(40):
-        one, two = draw.getrandbits(64), draw.getrandbits(64)
-        for _ in range(6):
-            flip = [sum(1 << b for b in draw.sample(range(64), draw.randint(0, 14))) for _ in range(2)]
-            rows.append((len(rows), one ^ flip[0], two ^ flip[1]))
-    group = {i: i for i, _, _ in rows}
+def brute_near(rows, shingle=5):
+    """First ids of the groups of near copies, by the similarity of all pairs."""
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i:i + shingle]) for i in range(len(w) - shingle + 1)} or {tuple(w)}
+    sets, group = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
 
     def top(i):
         while group[i] != i:
             i = group[i]
         return i
-
-    for i, a, b in rows:
-        for j, c, d in rows[:i]:
-            apart = (a ^ c).bit_count()
-            if a == c or apart <= simhash.WIDE_DISTANCE and apart + (b ^ d).bit_count() <= simhash.WIDE_TOTAL:
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) >= 0.8 * len(a | b):
                 x, y = sorted((top(i), top(j)))
                 group[y] = x
-    df = spark.createDataFrame([(i, simhash.signed(a), simhash.signed(b)) for i, a, b in rows], "doc_id long, _fp long, _fp2 long")
-    found = simhash.classes(df, "doc_id", simhash.WIDE_DISTANCE, simhash.WIDE_BLOCKS, True)
-    got = {r["doc_id"]: r["component_id"] for r in df.join(found, "_fp").collect()}
-    assert got == {i: top(i) for i in group} and 41 < len(set(got.values())) < len(rows)
+    return {top(i) for i in group}
 
 
-def test_near_copies_of_five_word_shingles_link_in_the_wide_form(spark):
+def test_near_copies_against_all_pairs(spark):
     draw = random.Random(9)
     rows = []
-    for k in range(20):
-        words = [f"w{draw.randrange(5000)}" for _ in range(400)]
-        near = list(words)
-        for at in draw.sample(range(400), 4):                     # similarity of about 0.9
-            near[at] = "other"
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    for _ in range(40):
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        for _ in range(5):                                        # similarities of about 0.65 to 1 to the first
+            near = list(words)
+            for at in draw.sample(range(300), draw.randint(0, 12)):
+                near[at] = f"other{draw.randrange(100)}"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(1000 + i, " ".join(f"v{k}" for k in range(i, i + 400))) for i in range(0, 400, 20)]      # a chain: neighbours only are near copies
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = simhash.keep_first(df, shingle=5, distance=simhash.WIDE_DISTANCE, blocks=simhash.WIDE_BLOCKS, wide=True)
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert ids >= set(range(0, 40, 2)) and len(ids) <= 22
+    kept, want = {r["doc_id"] for r in simhash.keep_first(df, near=True).collect()}, brute_near(rows)
+    assert kept >= want                                           # nothing below 0.8 goes
+    assert len(kept - want) <= 0.1 * (len(rows) - len(want)) and 1000 in kept and len(want) < len(rows) - 60
+
+
+def test_one_large_bucket_against_all_pairs_prunes():
+    draw = np.random.default_rng(4)
+    fps = draw.integers(0, 1 << 48, 12_000, dtype=np.uint64)
+    near = fps[:500] ^ (np.uint64(1) << draw.integers(0, 48, 500, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, near]))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    compared = []
+    got = simhash.local_links(np.zeros(len(fps), dtype=np.int64), fps, compared=compared)
+    root = np.arange(len(fps))
+    for i in range(len(fps)):                                     # brute force, in order
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3):
+            a, b = root[i], root[j]
+            root[root == max(a, b)] = min(a, b)
+    assert (got == root).all() and (root != np.arange(len(fps))).sum() >= 490
+    assert sum(compared) * 10 <= len(fps) ** 2 // 2               # of all pairs, nine in ten or more are never compared
+
+
+CLASHING = ["n", "id", "th", "row", "key", "dropped", "_id", "_p", "_n", "_h", "_fp", "_side", "_sources", "label", "features"]
+
+
+@pytest.mark.parametrize("step", ["keep_first", "near", "mix", "without_leaks"])
+def test_clashing_columns_are_kept(spark, step):
+    rows = [(i, f"some words of document number {i} that stand alone " * 3, *range(15)) for i in range(3)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHING))
+    bench = spark.createDataFrame([(1, "nothing that is in any of the documents at all, word for word, is here")], "item_id long, text string")
+    out = {"keep_first": lambda: simhash.keep_first(df), "near": lambda: simhash.keep_first(df, near=True), "mix": lambda: mixing.mix(df, queries.F.array(queries.F.lit("s"))),
+           "without_leaks": lambda: leaks.without_leaks(df, bench)}[step]()
+    got = out.collect()
+    assert out.columns[:17] == df.columns and {r["doc_id"] for r in got} <= {0, 1, 2} and len(got) >= 1
+    assert all(tuple(r)[2:17] == tuple(range(15)) for r in got)
