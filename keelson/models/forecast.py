@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 import sys
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -71,37 +72,70 @@ def conformal(calib: DataFrame, predicted: DataFrame) -> DataFrame:
     return predicted.join(q, "horizon").withColumns({"p10": (s + F.col("q10")) * k, "p50": s * k, "p90": (s + F.col("q90")) * k})
 
 
-def histories(quarters: DataFrame, min_length: int = LAGS + 6) -> DataFrame:
-    """Values up to each origin as an array (bounded by the number of quarters of a company)."""
-    run = regular_run(quarters, ["cik"])
-    w = W.partitionBy("cik").orderBy("end")
-    return (run.withColumns({"history": F.collect_list("val").over(w.rowsBetween(W.unboundedPreceding, 0)), "length": F.count(F.lit(1)).over(W.partitionBy("cik"))})
-            .where((F.col("length") >= min_length) & (F.size("history") >= LAGS)).select("cik", F.col("end").alias("origin"), "history"))
-
-
-def _holt_winters(y: np.ndarray, horizon: int = 4, season: int = 4) -> list[float]:
-    """Damped additive trend and season; the best of a small parameter grid by in-sample error."""
-    base = y[:season].mean()
-    best, out = np.inf, [float(y[-1])] * horizon
-    for a, b, g, phi in itertools.product((0.2, 0.5, 0.8), (0.05, 0.2), (0.1, 0.4), (0.9, 0.98)):
-        level, trend, s, sse = base, (y[season:2 * season].mean() - base) / season, list(y[:season] - base), 0.0
-        for t in range(season, len(y)):
-            hat = level + phi * trend + s[t - season]
-            sse += (y[t] - hat) ** 2
-            new = a * (y[t] - s[t - season]) + (1 - a) * (level + phi * trend)
-            trend = b * (new - level) + (1 - b) * phi * trend
-            s.append(g * (y[t] - new) + (1 - g) * s[t - season])
-            level = new
-        if sse < best:
-            damp = np.cumsum(phi ** np.arange(1, horizon + 1))
-            best, out = sse, [float(level + damp[h] * trend + s[len(y) - season + h % season]) for h in range(horizon)]
-    return out
-
-
-def damped_baseline(quarters: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def damped_forecast(history: pd.Series) -> pd.Series:
-        return history.map(lambda h: _holt_winters(np.asarray(h, dtype=float)))
-
-    h = histories(quarters).withColumn("fc", damped_forecast("history"))
-    return h.select("cik", "origin", F.posexplode("fc").alias("p", "damped")).select("cik", "origin", (F.col("p") + 1).alias("horizon"), "damped")
+GRID = list(itertools.product((0.2, 0.5, 0.8), (0.05, 0.2), (0.1, 0.4), (0.9, 0.98)))     # level, trend, season, damping
+SEASON, AHEAD = 4, 4
+
+
+class DampedTrend:
+    """Damped additive trend and season of one series, all settings side by side as vectors; one step a value."""
+
+    def __init__(self, grid: np.ndarray):
+        self.a, self.b, self.g, self.phi = grid.T
+        self.damp = np.cumsum(self.phi[:, None] ** np.arange(1, AHEAD + 1), axis=1)
+        self.first: list[float] = []
+        self.sse = np.zeros(len(grid))
+
+    def step(self, y: float) -> None:
+        past = self.level + self.phi * self.trend
+        seasonal = self.season[0]
+        self.sse += (y - past - seasonal) ** 2
+        level = self.a * (y - seasonal) + (1 - self.a) * past
+        self.trend = self.b * (level - self.level) + (1 - self.b) * self.phi * self.trend
+        self.season = [*self.season[1:], self.g * (y - level) + (1 - self.g) * seasonal]
+        self.level = level
+
+    def add(self, y: float) -> list[float] | None:
+        """The forecasts from this origin by the setting of least error so far; None before two seasons."""
+        if self.first is not None:
+            self.first.append(y)
+            if len(self.first) < 2 * SEASON:
+                return None
+            start, later = np.array(self.first[:SEASON]), self.first[SEASON:]
+            self.level = np.full(len(self.a), start.mean())
+            self.trend = np.full(len(self.a), (np.mean(later) - start.mean()) / SEASON)
+            self.season = [np.full(len(self.a), v) for v in start - start.mean()]
+            self.first = None
+            for v in later:
+                self.step(v)
+        else:
+            self.step(y)
+        k = int(np.argmin(self.sse))
+        return [float(self.level[k] + self.damp[k, h] * self.trend[k] + self.season[h % SEASON][k]) for h in range(AHEAD)]
+
+
+def damped_baseline(quarters: DataFrame, grid: list[tuple] = GRID, min_length: int = LAGS + 6) -> DataFrame:
+    """(cik, origin, horizon, damped): forecasts from each origin, in one pass over the values of a company in time order.
+
+    The state of all settings moves on with each value, so the work is linear in the length of a series. Rows stream through a task sorted
+    by company and date; nothing of a company is held but its state.
+    """
+    run = regular_run(quarters, ["cik"]).withColumn("length", F.count(F.lit(1)).over(W.partitionBy("cik")))
+    settings = np.array(grid, dtype=float)
+
+    def forecasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        company, state = None, None
+        for b in batches:
+            out: dict[str, list] = {"cik": [], "origin": [], "horizon": [], "damped": []}
+            for cik, end, val, length in zip(*(b.column(c).to_pylist() for c in ("cik", "end", "val", "length")), strict=True):
+                if state is None or cik != company:
+                    company, state = cik, DampedTrend(settings)
+                told = state.add(val)
+                if told is not None and length >= min_length:
+                    for h, v in enumerate(told):
+                        out["cik"].append(cik), out["origin"].append(end), out["horizon"].append(h + 1), out["damped"].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["cik"], b.schema.field("cik").type), pa.array(out["origin"], pa.date32()), pa.array(out["horizon"], pa.int32()),
+                                              pa.array(out["damped"], pa.float64())], names=list(out))
+
+    key = run.schema["cik"].dataType.simpleString()
+    return (run.select("cik", "end", "val", "length").repartition("cik").sortWithinPartitions("cik", "end")
+            .mapInArrow(forecasts, f"cik {key}, origin date, horizon int, damped double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,12 +20,10 @@ def drop_exact_copies(articles: DataFrame) -> DataFrame:
             .agg(F.min_by(F.struct(*cols), F.struct("published_at", "article_id")).alias("r")).select("r.*"))
 
 
-def story_pairs(articles: DataFrame, overlap: float = 0.6, min_shared: int = 3, days: int = 3) -> DataFrame:
-    """(cik, later, earlier): copies of a story.
+def story_words(articles: DataFrame, overlap: float = 0.6, min_shared: int = 3) -> DataFrame:
+    """(cik, article_id, published_at, rare, probing): content words, the rarest of the company first, and how many of them probe.
 
-    Exact prefix filter: tokens are ordered by how rare they are in the company's headlines; if the shorter headline has m
-    tokens and must share t of them, one of its first m - t + 1 tokens is shared. Only those are probed, against headlines
-    at most `days` apart (day blocks), and every candidate is verified on its token sets.
+    Exact prefix filter: if the shorter headline has m words and must share t of them, one of its m - t + 1 rarest words is shared.
     """
     base = articles.select("cik", "article_id", "published_at", text.content_tokens("title").alias("tokens"))
     words = base.select("cik", "article_id", "published_at", F.explode("tokens").alias("w"), F.size("tokens").alias("m"))
@@ -33,48 +31,75 @@ def story_pairs(articles: DataFrame, overlap: float = 0.6, min_shared: int = 3,
     ranked = words.join(freq, ["cik", "w"]).groupBy("cik", "article_id", "published_at", "m").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda s: s["w"]).alias("rare"))
     need = F.greatest(F.lit(min_shared), F.ceil(F.col("m") * overlap - 1e-9)).cast("int")
-    probes = (ranked.where(F.col("m") >= min_shared)
-              .select("cik", F.col("article_id").alias("a"), F.col("published_at").alias("ta"), F.col("rare").alias("wa"),
-                      F.explode(F.slice("rare", 1, F.greatest(F.lit(1), F.col("m") - need + 1))).alias("w"))
+    return ranked.select("cik", "article_id", "published_at", "rare",
+                         F.when(F.col("m") >= min_shared, F.greatest(F.lit(1), F.col("m") - need + 1)).otherwise(0).alias("probing"))
+
+
+def same_story(wa: Column, wb: Column, ta: Column, tb: Column, overlap: float, min_shared: int, days: int) -> Column:
+    """The shorter set shares enough words, and at most `days` whole days lie between."""
+    near = F.floor(F.abs(F.unix_micros(ta) - F.unix_micros(tb)) / F.lit(86_400_000_000)) <= days
+    shared = F.size(F.array_intersect(wa, wb))
+    return near & (shared >= min_shared) & (shared / F.least(F.size(wa), F.size(wb)) >= overlap)
+
+
+def story_pairs(articles: DataFrame, overlap: float = 0.6, min_shared: int = 3, days: int = 3) -> DataFrame:
+    """(cik, later, earlier): all pairs of copies of a story.
+
+    Only the rare words of `story_words` are probed, against headlines at most `days` apart (day blocks), and every candidate is verified.
+    """
+    ranked = story_words(articles, overlap, min_shared)
+    probes = (ranked.select("cik", F.col("article_id").alias("a"), F.col("published_at").alias("ta"), F.col("rare").alias("wa"),
+                            F.explode(F.slice("rare", 1, "probing")).alias("w"))
               .withColumn("block", F.explode(F.sequence(F.date_sub(F.to_date("ta"), days + 1), F.date_add(F.to_date("ta"), days + 1)))))
     index = ranked.select("cik", F.col("article_id").alias("b"), F.col("published_at").alias("tb"), F.col("rare").alias("wb"),
                           F.explode("rare").alias("w"), F.to_date("published_at").alias("block"))
     # the shorter side probes; equal lengths probe once, from the smaller id
     shorter = (F.size("wa") < F.size("wb")) | ((F.size("wa") == F.size("wb")) & (F.col("a") < F.col("b")))
-    gap = F.abs(F.unix_micros("ta") - F.unix_micros("tb"))
-    # days between, floored for the later minus the earlier
-    near = F.floor(gap / F.lit(86_400_000_000)) <= days
-    shared = F.size(F.array_intersect("wa", "wb"))
-    hits = (probes.join(index, ["cik", "w", "block"]).where(shorter & near)
-            .where((shared >= min_shared) & (shared / F.size("wa") >= overlap)))
+    hits = (probes.join(index, ["cik", "w", "block"])
+            .where(shorter & same_story(F.col("wa"), F.col("wb"), F.col("ta"), F.col("tb"), overlap, min_shared, days)))
     a_first = F.struct(F.col("ta"), F.col("a")) < F.struct(F.col("tb"), F.col("b"))
     return hits.select("cik", F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"),
                        F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("earlier")).distinct()
 
 
-def deduplicate(articles: DataFrame, **rules) -> DataFrame:
+def deduplicate(articles: DataFrame, overlap: float = 0.6, min_shared: int = 3, days: int = 3) -> DataFrame:
     """One story, one headline: a headline is dropped when an earlier *kept* one tells the same story.
 
-    The greedy order is resolved in rounds over the story pairs: an article with no earlier open copy is kept, an article
-    with a kept copy is dropped. Each round settles at least the earliest open article of every company; the state between
-    rounds is checkpointed to the shared folder.
+    Headlines that can be copies share a bucket (company, word, days). In a round the open headlines of a bucket meet its first `front`
+    ones only, and each remembers the copies it met, so n copies of a story give n pairs, not n squared. A headline that has met all earlier
+    open ones of its buckets without a copy is kept; one whose copy was kept is dropped; both leave. `front` doubles, so that a bucket of
+    headlines that merely share a word ends in few rounds. The state between rounds is checkpointed to the shared folder.
     """
-    spark = articles.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(articles.sparkSession)
     unique = drop_exact_copies(articles)
-    edges = story_pairs(unique, **rules).checkpoint()
-    dropped = edges.select("cik", "later").limit(0)
-    while True:
-        blocked = edges.select("cik", "later").distinct()
-        free = edges.select("cik", F.col("earlier").alias("later")).distinct().join(blocked, ["cik", "later"], "left_anti")
-        lost = (edges.join(free.withColumnRenamed("later", "earlier"), ["cik", "earlier"], "left_semi")
-                .select("cik", "later").distinct()).checkpoint()
-        if lost.isEmpty():
-            break
-        dropped = dropped.unionByName(lost)
-        gone = lost.withColumnRenamed("later", "earlier")
-        edges = (edges.join(lost, ["cik", "later"], "left_anti").join(gone, ["cik", "earlier"], "left_anti")).checkpoint()
-    return unique.join(dropped.withColumnRenamed("later", "article_id"), ["cik", "article_id"], "left_anti")
+    ranked = story_words(unique, overlap, min_shared).withColumn("at", F.struct(F.col("published_at").alias("t"), F.col("article_id").alias("id")))
+    # blocks of days + 1 days, each headline in its own and the next: two headlines at most `days` apart share one
+    block = F.floor(F.datediff("published_at", F.lit("1970-01-01").cast("date")) / (days + 1))
+    cells = ranked.select("cik", "at", "rare", F.posexplode("rare").alias("k", "w"), F.col("probing"), F.explode(F.array(block, block + 1)).alias("block"))
+    # a word of a single headline of a company has no one to meet
+    several = ranked.select("cik", F.explode("rare").alias("w")).groupBy("cik", "w").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    cells = cells.join(several, ["cik", "w"], "left_semi").select("cik", "w", "block", "at", "rare", (F.col("k") < F.col("probing")).alias("probe")).checkpoint()
+    bucket = ["cik", "w", "block"]
+    dropped, front = None, 1
+    while not cells.isEmpty():
+        order = W.partitionBy(*bucket).orderBy("at")
+        before = cells.withColumns({"n": F.row_number().over(order) - 1, "p": F.coalesce(F.sum(F.col("probe").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+        # a probe meets all earlier ones, others the probes among them
+        front_row = F.when(F.col("probe"), F.least("n", "p")).otherwise(F.col("n"))
+        leaders = before.where(front_row < front).select(*bucket, F.col("at").alias("lead"), F.col("rare").alias("words"), "n", "p", F.col("probe").alias("asks"))
+        mine = before.select(*bucket, "at", "rare", F.col("probe").alias("asked"))
+        meet = (F.col("lead") < F.col("at")) & ((F.col("asked") & (F.col("n") < front)) | (F.col("asks") & (F.col("p") < front)))
+        copies = (mine.join(leaders, bucket).where(meet & same_story(F.col("rare"), F.col("words"), F.col("at.t"), F.col("lead.t"), overlap, min_shared, days))
+                  .select("cik", "at", "lead").distinct()).checkpoint()
+        seen = before.groupBy("cik", "at").agg(F.bool_and(F.when(F.col("probe"), F.col("n") <= front).otherwise(F.col("p") <= front)).alias("all"))
+        kept = seen.where("all").select("cik", "at").join(copies, ["cik", "at"], "left_anti").checkpoint()
+        lost = copies.join(kept.withColumnRenamed("at", "lead"), ["cik", "lead"], "left_semi").select("cik", "at").distinct().checkpoint()
+        dropped = lost if dropped is None else dropped.union(lost)
+        cells = cells.join(kept.union(lost), ["cik", "at"], "left_anti").checkpoint()
+        front *= 2
+    if dropped is None:
+        return unique
+    return unique.join(dropped.select("cik", F.col("at.id").alias("article_id")), ["cik", "article_id"], "left_anti")
 
 
 def age_days(as_of: str = "as_of"):

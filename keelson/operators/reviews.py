@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from keelson.functions.numeric import theil_sen
 from keelson.functions.text import quarter_label
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])      # workers need no copy of this package
 REPLICAS = 300
+PART_VALUES = 50_000                              # distinct values that one task adds up
 MIN_REVIEWS = 10
 
 
@@ -25,29 +37,51 @@ def quarterly_index(reviews: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(reviews: DataFrame, replicas: int = REPLICAS, seed: int = 42) -> DataFrame:
-    """90% interval of the quarterly mean from Poisson(1) replica weights, drawn from a hash of (review, replica).
+    """90% interval of the quarterly mean from Poisson replica weights.
 
-    Every replica is one aggregation key, so the resampling needs no grouped Python and no key is larger than its partial
-    sums. A quarter with one review has a point interval.
+    Reviews fold to (company, quarter, value) with a count first. A value that stands c times weighs Poisson(c) in each replica, which is the sum
+    of its c Poisson(1) weights; the draw is keyed by a hash of the value, so it does not depend on the partitioning. Each part of a quarter (of
+    `PART_VALUES` distinct values at most, on average) adds up to two vectors over the replicas, and the parts of a quarter to its interval:
+    no row is written out per replica. A quarter with one review has a point interval.
     """
-    keyed = reviews.select("cik", quarter_label(F.col("date_review")).alias("quarter"), "review_id", "polarity")
-    drawn = keyed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
-    u = F.pmod(F.xxhash64("review_id", "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # inverse Poisson(1) distribution: the count is the number of cumulative probabilities below u
-    cdf, term, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    means = (drawn.withColumn("w", weight).groupBy("cik", "quarter", "b")
-             .agg((F.sum(F.col("w") * F.col("polarity")) / F.nullif(F.sum("w"), F.lit(0))).alias("m")))
-    n = quarterly_index(reviews).select("cik", "quarter", "reviews", "index")
-    ci = means.groupBy("cik", "quarter").agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    keyed = reviews.select("cik", quarter_label(F.col("date_review")).alias("quarter"), F.col("polarity").cast("double").alias("v")).where("v is not null")
+    folded = keyed.groupBy("cik", "quarter", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("h", F.xxhash64("cik", "quarter", "v", F.lit(seed)))
+    groups = folded.groupBy("cik", "quarter").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("reviews"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("index"))
+    parts = folded.join(groups.select("cik", "quarter", "d"), ["cik", "quarter"])
+    parts = parts.withColumn("part", F.pmod("h", F.ceil(F.col("d") / PART_VALUES)).cast("int")).select("cik", "quarter", "part", "v", "c", "h")
+    key = keyed.schema["cik"].dataType.simpleString()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of each (cik, quarter, part); its rows stand together."""
+        at, sums = None, None
+        for b in itertools.chain(batches, [None]):
+            done: list[tuple] = []
+            rows = zip(*(b.column(c).to_pylist() for c in ("cik", "quarter", "part", "v", "c", "h")), strict=True) if b is not None else [(None,) * 6]
+            for cik, quarter, part, v, c, h in rows:
+                if (cik, quarter, part) != at:
+                    if sums is not None:
+                        done.append((at[0], at[1], sums[0].tobytes(), sums[1].tobytes()))
+                    at, sums = (cik, quarter, part), np.zeros((2, replicas))
+                if b is not None:
+                    w = np.random.Generator(np.random.Philox(key=h & (1 << 64) - 1)).poisson(c, replicas)
+                    sums += np.stack([w, w * v])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kinds.field("cik").type), *[pa.array([d[k] for d in done], kinds.field(k).type) for k in (1, 2, 3)]],
+                                                 schema=kinds)
+
+    def interval(rows: pd.DataFrame) -> pd.DataFrame:
+        w, s = (sum(np.frombuffer(x) for x in rows[c]) for c in ("w", "s"))
+        low, high = np.quantile(s[w > 0] / w[w > 0], [0.05, 0.95]) if (w > 0).any() else (np.nan, np.nan)
+        return pd.DataFrame({"cik": rows["cik"].iloc[:1], "quarter": rows["quarter"].iloc[:1], "low": [low], "high": [high]})
+
+    schema = T.StructType([T.StructField("cik", keyed.schema["cik"].dataType), T.StructField("quarter", T.StringType()), T.StructField("w", T.BinaryType()),
+                           T.StructField("s", T.BinaryType())])
+    kinds = to_arrow_schema(schema)
+    vectors = parts.repartition("cik", "quarter", "part").sortWithinPartitions("cik", "quarter", "part").mapInArrow(add_up, schema)
+    ci = vectors.groupBy("cik", "quarter").applyInPandas(interval, f"cik {key}, quarter string, low double, high double")
     one = F.col("reviews") == 1
-    return n.join(ci, ["cik", "quarter"]).select(
-        "cik", "quarter", F.when(one, F.col("index")).otherwise(F.get("q", F.lit(0))).alias("ci90_low"),
-        F.when(one, F.col("index")).otherwise(F.get("q", F.lit(1))).alias("ci90_high"))
+    return groups.join(ci, ["cik", "quarter"]).select("cik", "quarter", F.when(one, F.col("index")).otherwise(F.col("low")).alias("ci90_low"),
+                                                      F.when(one, F.col("index")).otherwise(F.col("high")).alias("ci90_high"))
 
 
 def usable_quarters(index: DataFrame, min_reviews: int = MIN_REVIEWS) -> DataFrame:

@@ -168,14 +168,48 @@ def trajectories(points: DataFrame) -> DataFrame:
     return known.join(newest, "company_id").withColumn("is_last", F.col("as_of") == F.col("_last")).drop("_last")
 
 
+RADIX, LEVELS = 16, 6                             # 16 ** 6 days hold every date
+DAY_ZERO, LAST_DAY = "0001-01-01", 9999 * 366
+
+
+def day_blocks(first: Column, after: Column) -> Column:
+    """Cover of the days first .. after - 1 by aligned blocks of 1, 16, 256 .. days, as an array of (level, block); none overlap.
+
+    From both ends, days up to the next larger block's border become blocks of the present size; what is between goes on to that size.
+    """
+    parts = []
+    for level in range(LEVELS):
+        size = RADIX ** level
+        wide = size * RADIX
+        up, down = F.ceil(first / wide) * wide, F.floor(after / wide) * wide
+        meets = (up <= down) & F.lit(level < LEVELS - 1)
+
+        def run(a, b, level=level, size=size):
+            numbers = F.when(a < b, F.sequence(F.floor(a / size), F.floor((b - 1) / size))).otherwise(F.array().cast("array<bigint>"))
+            return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("block")))
+        parts += [run(first, F.when(meets, up).otherwise(after)), run(F.when(meets, down).otherwise(after), after)]
+        first, after = F.when(meets, up).otherwise(F.lit(0)), F.when(meets, down).otherwise(F.lit(0))
+    return F.concat(*parts)
+
+
+def blocks_of_day(day: Column) -> Column:
+    """The blocks a day lies in, one for each level."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.floor(day / RADIX ** level).alias("block")) for level in range(LEVELS)])
+
+
 def identifier_asof(identifiers: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes: (scheme, value, as_of) -> company whose identifier was valid on the date (valid_to exclusive, open if NULL)."""
-    p = probes.alias("p")
-    i = identifiers.alias("i")
-    on = ((F.col("p.scheme") == F.col("i.scheme")) & (F.col("p.value") == F.col("i.value"))
-          & (F.col("i.valid_from") <= F.col("p.as_of"))
-          & (F.col("i.valid_to").isNull() | (F.col("p.as_of") < F.col("i.valid_to"))))
-    return p.join(i, on).select("p.scheme", "p.value", "p.as_of", "i.company_id")
+    """probes: (scheme, value, as_of) -> company whose identifier was valid on the date (valid_to exclusive, open if NULL).
+
+    Validity is cut into aligned day blocks, and a probe looks up the blocks its day lies in. Blocks of one validity do not overlap, so every
+    joined row is a result: a value with many validity rows is not paired with each of its probes, and its rows spread over its blocks.
+    """
+    number = lambda c: F.datediff(c, F.lit(DAY_ZERO).cast("date")).cast("long")
+    valid = (identifiers.where("valid_to is null or valid_from < valid_to")
+             .select("scheme", "value", "company_id", F.explode(day_blocks(number(F.col("valid_from")), F.coalesce(number(F.col("valid_to")), F.lit(LAST_DAY)))).alias("b"))
+             .select("scheme", "value", "company_id", "b.level", "b.block"))
+    asked = (probes.select("scheme", "value", "as_of", F.explode(blocks_of_day(number(F.col("as_of")))).alias("b"))
+             .select("scheme", "value", "as_of", "b.level", "b.block"))
+    return asked.join(valid, ["scheme", "value", "level", "block"]).select("scheme", "value", "as_of", "company_id")
 
 
 def source_status(companies: DataFrame, latest: DataFrame, sources: list[str]) -> DataFrame:

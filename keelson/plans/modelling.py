@@ -341,6 +341,24 @@ def conformal_forecasts(spark, sf):
     return forecasts(spark, sf).select("cik", "origin", "horizon", "target_end", "y", "p10", "p50", "p90")
 
 
+SETTING = (0.5, 0.2, 0.1, 0.9)                    # level, trend, season, damping
+_a, _b, _g, _phi = (f"{x}::DOUBLE" for x in SETTING)
+view("damped_series", """SELECT cik, list(val ORDER BY "end") AS y, list("end" ORDER BY "end") AS ends, count(*) AS n FROM run_p GROUP BY cik HAVING count(*) >= 14""")
+
+
+@query("damped_trend_forecasts", f"""WITH RECURSIVE start AS (SELECT cik, y, ends, n, (y[1] + y[2] + y[3] + y[4]) / 4 AS base, (y[5] + y[6] + y[7] + y[8]) / 4 AS later FROM damped_series),
+walk AS (
+  SELECT cik, 4::BIGINT AS t, base AS level, (later - base) / 4 AS trend, [y[1] - base, y[2] - base, y[3] - base, y[4] - base] AS s FROM start
+  UNION ALL
+  SELECT cik, t + 1, new, {_b} * (new - level) + (1 - {_b}) * {_phi} * trend, [s[2], s[3], s[4], {_g} * (v - new) + (1 - {_g}) * s[1]]
+  FROM (SELECT w.*, x.y[w.t + 1] AS v, {_a} * (x.y[w.t + 1] - w.s[1]) + (1 - {_a}) * (w.level + {_phi} * w.trend) AS new FROM walk w JOIN start x ON x.cik = w.cik AND w.t < x.n))
+SELECT w.cik, x.ends[w.t] AS origin, h.h AS horizon, round(w.level + h.damp * w.trend + w.s[h.h], 2) AS damped FROM walk w JOIN start x ON x.cik = w.cik
+CROSS JOIN (VALUES {", ".join(f"({h}, {sum(SETTING[3] ** k for k in range(1, h + 1))}::DOUBLE)" for h in range(1, 5))}) AS h(h, damp) WHERE w.t >= 8""")
+def damped_trend_forecasts(spark, sf):
+    """The damped baseline with one setting, from every origin."""
+    return forecast.damped_baseline(restated_quarters(spark, sf), [SETTING]).withColumn("damped", F.round("damped", 2))
+
+
 @query("forecast_evaluation")
 def forecast_evaluation(spark, sf):
     """Errors by method and the coverage of the 80% intervals on the test split."""

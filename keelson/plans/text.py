@@ -57,16 +57,31 @@ view("unique_p", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik
   FROM tokens_p) WHERE rn = 1""")
 
 
-@query("story_pairs", """SELECT b.cik, b.article_id AS later, a.article_id AS earlier FROM unique_p a JOIN unique_p b
+view("story_pairs_p", """SELECT b.cik, b.article_id AS later, a.article_id AS earlier FROM unique_p a JOIN unique_p b
   ON a.cik = b.cik AND (a.published_at, a.article_id) < (b.published_at, b.article_id)
 WHERE epoch_us(b.published_at) - epoch_us(a.published_at) < 4 * 86400000000
   AND len(list_intersect(a.tokens, b.tokens)) >= 3
   AND len(list_intersect(a.tokens, b.tokens)) / least(len(a.tokens), len(b.tokens)) >= 0.6::DOUBLE""")
+
+
+@query("story_pairs", "SELECT cik, later, earlier FROM story_pairs_p")
 def story_pairs(spark, sf):
     return news.story_pairs(news.drop_exact_copies(articles(spark, sf)))
 
 
-@query("deduplicated_headlines")
+# the greedy order, one headline of each company a step
+view("story_queue_p", """SELECT u.cik, u.article_id, row_number() OVER (PARTITION BY u.cik ORDER BY u.published_at, u.article_id) AS k, p.earlier
+FROM unique_p u LEFT JOIN (SELECT later, list(earlier) AS earlier FROM story_pairs_p GROUP BY later) p ON p.later = u.article_id""")
+
+
+@query("deduplicated_headlines", """WITH RECURSIVE queue AS (SELECT * FROM story_queue_p),
+told AS (
+  SELECT cik, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT cik FROM queue)
+  UNION ALL
+  SELECT t.cik, q.k, CASE WHEN q.earlier IS NULL OR NOT list_has_any(t.kept, q.earlier) THEN list_append(t.kept, q.article_id) ELSE t.kept END
+  FROM told t JOIN queue q ON q.cik = t.cik AND q.k = t.k + 1)
+SELECT a.cik, a.article_id, a.title, a.published_at FROM (SELECT cik, unnest(kept) AS article_id
+  FROM (SELECT cik, kept FROM told QUALIFY row_number() OVER (PARTITION BY cik ORDER BY k DESC) = 1)) x JOIN articles_p a USING (cik, article_id)""")
 def deduplicated(spark, sf):
     return news.deduplicate(articles(spark, sf)).select("cik", "article_id", "title", "published_at")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,17 @@ from keelson.operators import drift, serving
 cloudpickle.register_pickle_by_value(sys.modules[__name__])      # workers need no copy of this package
 
 
-def drift_bins(log: DataFrame, reference: DataFrame, window: str = "15 days", delay: str = "1 day") -> DataFrame:
-    """Windowed bin counts of the logged features (the state is windows x features x bins, independent of traffic)."""
+def drift_bins(log: DataFrame, reference: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Bin counts of the logged features in sliding windows; in append mode a window comes out once, when the watermark has passed its end.
+
+    The state is open windows x features x bins, independent of traffic. The reference edges are a static table, broadcast where its size is checked.
+    """
+    reference = drift.small_side(reference)
     long = (log.withWatermark("logged_at", delay).select("logged_at", "model", F.explode("features").alias("feature", "v"))
             .where(F.col("v").isNotNull()))
     binned = long.join(reference.select("model", "feature", "edges"), ["model", "feature"])
     return (binned.withColumn("bin", drift.bin_of(F.col("edges"), F.col("v")))
-            .groupBy(F.window("logged_at", window).alias("w"), "model", "feature", "bin").agg(F.count(F.lit(1)).alias("c")))
+            .groupBy(F.window("logged_at", window, slide).alias("w"), "model", "feature", "bin").agg(F.count(F.lit(1)).alias("c")))
 
 
 def psi_of_bins(bins: DataFrame, reference: DataFrame) -> DataFrame:
@@ -74,63 +79,134 @@ def labelled_later(reports: DataFrame, events: DataFrame, days: int = 365) -> Da
     return r.join(e, on).select("r.cik", "r.accn", "r.as_of", "e.filed")
 
 
-class LastReport(StatefulProcessor):
-    """Per company: the last report's time, score and signal codes. A late report older than the state raises nothing."""
+class Reports(StatefulProcessor):
+    """Per company: time, score and signal codes of its reports. A report is judged against the one before it in event time, whatever the order
+    of arrival; a late report is judged when it comes, and its successor again. The latest revision of a report counts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp, report_id bigint, score int, codes string")
+        self.seen = handle.getMapState("seen", "generated_at timestamp, report_id bigint", "health_score int, codes string, serious string")
+        self.revision = handle.getValueState("revision", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["generated_at", "report_id"])
-        out = []
-        state = self.last.get() if self.last.exists() else None
-        for r in batch.itertuples(index=False):
-            if state is not None and (pd.Timestamp(r.generated_at), int(r.report_id)) <= (pd.Timestamp(state[0]), int(state[1])):
-                continue
-            codes = [] if not r.serious else r.serious.split(",")
-            known = set() if state is None else set(state[3].split(","))
-            fresh = [c for c in codes if (state is None and c.endswith("!")) or (state is not None and c.rstrip("!") not in known)]
-            before = None if state is None else state[2]
-            now = None if pd.isna(r.health_score) else int(r.health_score)
-            drop = None if before is None or now is None else int(before) - now
-            out.append((int(key[0]), int(r.report_id), None if drop is None or drop <= 0 else drop, ",".join(sorted(c.rstrip("!") for c in fresh))))
-            state = (r.generated_at, int(r.report_id), now, r.codes)
-        if state is not None:
-            self.last.update((pd.Timestamp(state[0]).to_pydatetime(), state[1], state[2], state[3]))
-        if out:
-            yield pd.DataFrame(out, columns=["company_id", "report_id", "score_drop", "new_signals"])
+        names = ["generated_at", "report_id", "health_score", "codes", "serious"]
+        new = pd.concat(list(rows))[names].assign(new=True)
+        known = [(*k, *v) for k, v in self.seen.iterator()]
+        old = pd.DataFrame(known, columns=names).assign(new=False) if known else new.iloc[:0]
+        both = pd.concat([old, new]).assign(generated_at=lambda d: pd.to_datetime(d["generated_at"])).drop_duplicates(["generated_at", "report_id"], keep="last")
+        both = both.sort_values(["generated_at", "report_id"], ignore_index=True)
+        score, before = both["health_score"].astype("float"), both["health_score"].astype("float").shift(1)
+        codes = [set(c.split(",")) for c in both["codes"].shift(1).fillna("")]
+        first = np.arange(len(both)) == 0
+        fresh = [",".join(sorted(c.rstrip("!") for c in s.split(",") if c and (c.endswith("!") if f else c.rstrip("!") not in k)))
+                 for s, k, f in zip(both["serious"].fillna(""), codes, first, strict=True)]
+        drop = (before - score).where(before > score)
+        judged = both["new"] | both["new"].shift(1, fill_value=False)
+        n = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+        self.revision.update((n,))
+        for r in both[both["new"]].itertuples(index=False):
+            self.seen.updateValue((r.generated_at.to_pydatetime(), int(r.report_id)), (None if pd.isna(r.health_score) else int(r.health_score), r.codes, r.serious))
+        # before the watermark nothing can come any more: only the newest report there is still a predecessor
+        past = both["generated_at"] < pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        for r in both[past].iloc[:-1].itertuples(index=False):
+            self.seen.removeKey((r.generated_at.to_pydatetime(), int(r.report_id)))
+        yield pd.DataFrame({"company_id": int(key[0]), "report_id": both["report_id"].astype("int64"), "score_drop": drop.astype("Int32"), "new_signals": fresh,
+                            "revision": n})[judged.to_numpy()]
 
     def close(self) -> None:
         pass
 
 
-def report_alerts(reports: DataFrame) -> DataFrame:
-    """reports: (company_id, report_id, generated_at, health_score, codes, serious). Keyed state in RocksDB, so a company keeps one
-    small record however many reports arrive; watchers are joined afterwards as in the batch form."""
-    return reports.groupBy("company_id").transformWithStateInPandas(
-        LastReport(), "company_id bigint, report_id bigint, score_drop int, new_signals string", "Append", "None")
-
-
-def upsert_stream(points: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch merges into a points table kept as numbered snapshots; a replayed batch rewrites its own snapshot."""
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        incoming = serving.upsert_points(batch.limit(0), batch)
-        if epoch > 0:
-            incoming = serving.upsert_points(spark.read.parquet(f"{path}/epoch={epoch - 1}"), incoming)
-        incoming.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-
-
-def replay(spark: SparkSession, df: DataFrame, path: str, files_per_batch: int = 4, parts: int = 8) -> DataFrame:
-    """Write rows as files and read them back as a file stream."""
-    df.repartition(parts).write.mode("overwrite").parquet(path)
+def report_alerts(reports: DataFrame, delay: str = "800 days") -> DataFrame:
+    """reports: (company_id, report_id, generated_at, health_score, codes, serious) -> judgements with a revision number.
+
+    Reports may come up to `delay` late; of older ones the state keeps one a company. `settled` keeps the latest judgement of each report;
+    watchers are joined afterwards as in the batch form."""
+    return reports.withWatermark("generated_at", delay).groupBy("company_id").transformWithStateInPandas(
+        Reports(), "company_id bigint, report_id bigint, score_drop int, new_signals string, revision bigint", "Append", "EventTime")
+
+
+def settled(judgements: DataFrame) -> DataFrame:
+    """The latest judgement of each report."""
+    return serving.latest_per_key(judgements, ["company_id", "report_id"], ["revision"]).drop("revision")
+
+
+class PointStore:
+    """A table of score points that micro-batches merge into: delta files by key range, a manifest, merge on read and compaction.
+
+    A batch writes its own folded points, into the key ranges it touches, and then one manifest row for each of them; a replayed batch overwrites
+    its own files. What is not in the manifest is not read. Readers fold the newest base of a range and the deltas after it (the fold is a maximum, so
+    its order does not matter). `compact` rewrites the ranges that have deltas, no others.
+    """
+
+    def __init__(self, path: str, ranges: int = 16):
+        self.path, self.ranges = path, ranges
+
+    def log(self, spark: SparkSession, kind: str, number: int, touched: list[int]) -> None:
+        rows = spark.createDataFrame([(kind, number, r) for r in touched], "kind string, number bigint, key_range int")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def put(self, points: DataFrame, kind: str, number: int) -> None:
+        spark, out = points.sparkSession, f"{self.path}/{kind}/number={number}"
+        ranged = points.withColumn("key_range", F.pmod(F.xxhash64("company_id"), F.lit(self.ranges)).cast("int"))
+        ranged.repartition("key_range").write.mode("overwrite").partitionBy("key_range").parquet(out)
+        touched = [r[0] for r in spark.read.parquet(out).select("key_range").distinct().collect()] if not points.isEmpty() else []
+        if touched:
+            self.log(spark, kind, number, touched)
+
+    def merge(self, batch: DataFrame, epoch: int) -> None:
+        self.put(serving.upsert_points(batch.limit(0), batch), "delta", epoch)
+
+    def files(self, spark: SparkSession) -> tuple[list[str], dict[int, int], int]:
+        """Folders to read, the number of deltas after each range's base, and the newest delta."""
+        rows = spark.read.parquet(f"{self.path}/manifest").distinct().collect()               # a row for each range and batch
+        base = {r: max(m["number"] for m in rows if m["kind"] == "base" and m["key_range"] == r) for r in {m["key_range"] for m in rows if m["kind"] == "base"}}
+        after = [(m["number"], m["key_range"]) for m in rows if m["kind"] == "delta" and m["number"] > base.get(m["key_range"], -1)]
+        folders = [f"{self.path}/base/number={n}/key_range={r}" for r, n in base.items()] + [f"{self.path}/delta/number={n}/key_range={r}" for n, r in after]
+        pending: dict[int, int] = {}
+        for _, r in after:
+            pending[r] = pending.get(r, 0) + 1
+        return sorted(folders), pending, max((m["number"] for m in rows if m["kind"] == "delta"), default=-1)
+
+    def read(self, spark: SparkSession, ranges: list[int] | None = None) -> DataFrame:
+        folders = [f for f in self.files(spark)[0] if ranges is None or int(f.rsplit("=", 1)[1]) in ranges]
+        stored = spark.read.parquet(*folders)
+        return serving.upsert_points(stored.limit(0), stored)
+
+    def compact(self, spark: SparkSession) -> list[int]:
+        """Ranges that were rewritten."""
+        _, pending, newest = self.files(spark)
+        if pending:
+            self.put(self.read(spark, list(pending)), "base", newest)
+        return sorted(pending)
+
+
+def upsert_stream(points: DataFrame, store: PointStore, checkpoint: str):
+    """Each micro-batch merges into the store."""
+    return points.writeStream.foreachBatch(store.merge).option("checkpointLocation", checkpoint)
+
+
+def replay(spark: SparkSession, df: DataFrame, path: str, files_per_batch: int = 4, parts: int = 8, order: str | None = None) -> DataFrame:
+    """Write rows as files and read them back as a file stream.
+
+    With `order`, a timestamp, the rows come in as many slices of time as there are batches, one slice a micro-batch, as live data would.
+    """
+    if order is None:
+        df.repartition(parts).write.mode("overwrite").parquet(path)
+    else:
+        slices = -(-parts // files_per_batch)
+        low, high = df.agg(F.min(F.unix_micros(order)), F.max(F.unix_micros(order))).first()
+        width = ((high or 0) - (low or 0)) // slices + 1
+        for k in range(slices):
+            here = F.floor((F.unix_micros(order) - F.lit(low or 0)) / width) == k
+            df.where(here).repartition(files_per_batch).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run over everything available and return the result table. Complete mode keeps the latest result only."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run over everything available and return the result table.
+
+    Append mode writes each row once. Update mode writes, for each trigger, the rows that changed; the newest row of each of `keys` counts.
+    """
     spark = stream.sparkSession
     if mode == "append":
         stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(
@@ -138,7 +214,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         return spark.read.schema(stream.schema).parquet(path)
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")                         # a replayed trigger rewrites its own rows
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.option("basePath", path).parquet(path)
+    return serving.latest_per_key(changed, keys, ["epoch"]).select(*stream.columns)

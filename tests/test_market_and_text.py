@@ -142,3 +142,94 @@ def test_resolution_equals_all_pairs(spark):
     for r in resolve.resolve(q, co).orderBy("query_id", "position").collect():
         got.setdefault(r["query_id"], []).append((-r["score"], r["cik"]))
     assert got == {i: sorted(x)[:8] for i, x in want.items()} and len(got) > 45
+
+
+def test_many_copies_of_a_story_meet_one_headline_each(spark, monkeypatch):
+    """n copies give n pairs, not n squared, and the greedy order holds."""
+    rows = [(f"Acme sued by regulators over battery recall case {i % 97}", T0 + dt.timedelta(minutes=i)) for i in range(400)]
+    df = articles(spark, rows)
+    emitted = []
+    frame, checkpoint = type(df), type(df).checkpoint
+
+    def counted(self, *args):
+        out = checkpoint(self, *args)
+        if out.columns == ["cik", "at", "lead"]:
+            emitted.append(out.count())
+        return out
+    monkeypatch.setattr(frame, "checkpoint", counted)
+    assert {r["article_id"] for r in news.deduplicate(df).collect()} == brute_force(rows)
+    assert sum(emitted) <= 3 * 97                                  # 97 headlines differ in their words
+
+
+def test_stories_equal_the_greedy_order(spark):
+    rng = random.Random(11)
+    words = [f"word{chr(97 + i)}x" for i in range(14)]
+    rows = [(" ".join(rng.sample(words, rng.randint(2, 7))), T0 + dt.timedelta(hours=rng.randint(0, 300))) for _ in range(150)]
+    assert {r["article_id"] for r in news.deduplicate(articles(spark, rows)).collect()} == brute_force(rows)
+
+
+def test_day_blocks_cover_exactly_and_briefly(spark):
+    rng = random.Random(4)
+    spans = [(a, a + rng.choice([1, 2, 15, 16, 17, 255, 4000, 100_000])) for a in (rng.randrange(0, 800_000) for _ in range(60))] + [(0, 16 ** 5), (5, 6)]
+    df = spark.createDataFrame(spans, "a long, b long")
+    for r in df.withColumn("c", serving.day_blocks(F.col("a"), F.col("b"))).collect():
+        days = sorted((x["block"] * 16 ** x["level"], (x["block"] + 1) * 16 ** x["level"]) for x in r["c"])
+        assert days[0][0] == r["a"] and days[-1][1] == r["b"] and all(x[1] == y[0] for x, y in zip(days, days[1:], strict=False))
+        assert len(days) <= 180
+
+
+def test_identifiers_join_no_more_rows_than_they_match(spark):
+    day = dt.date(1994, 1, 1)
+    ids = [("t", "A", k, day + dt.timedelta(days=3 * k), day + dt.timedelta(days=3 * k + 4)) for k in range(300)] + [("t", "A", 900, day, None), ("t", "A", 901, day, day)]
+    probes = [("t", "A", day + dt.timedelta(days=k)) for k in range(0, 900, 7)] + [("t", "B", day), ("t", "A", day - dt.timedelta(days=1))]
+    got = serving.identifier_asof(spark.createDataFrame(ids, "scheme string, value string, company_id long, valid_from date, valid_to date"),
+                                  spark.createDataFrame(probes, "scheme string, value string, as_of date"))
+    want = sorted((p[2], i[2]) for p in probes for i in ids if p[:2] == i[:2] and i[3] <= p[2] and (i[4] is None or p[2] < i[4]))
+    assert sorted((r["as_of"], r["company_id"]) for r in got.collect()) == want
+
+
+def test_damped_trend_in_one_pass(spark):
+    """The streamed state of all settings gives what refitting each origin's whole history gives."""
+    import numpy as np
+
+    def refit(y, grid, season=4):
+        best, out, base = np.inf, None, y[:season].mean()
+        for a, b, g, phi in grid:
+            level, trend, s, sse = base, (y[season:2 * season].mean() - base) / season, list(y[:season] - base), 0.0
+            for t in range(season, len(y)):
+                sse += (y[t] - level - phi * trend - s[t - season]) ** 2
+                new = a * (y[t] - s[t - season]) + (1 - a) * (level + phi * trend)
+                trend = b * (new - level) + (1 - b) * phi * trend
+                s.append(g * (y[t] - new) + (1 - g) * s[t - season])
+                level = new
+            if sse < best:
+                damp = np.cumsum(phi ** np.arange(1, 5))
+                best, out = sse, [level + damp[h] * trend + s[len(y) - season + h] for h in range(4)]
+        return out
+
+    rng = np.random.default_rng(3)
+    ends = [dt.date(2000 + q // 4, q % 4 * 3 + 3, 28) for q in range(30)]
+    series = {c: rng.normal(100, 10, n) + np.arange(n) for c, n in ((1, 30), (2, 16), (3, 13))}
+    rows = [(c, e, float(v)) for c, y in series.items() for e, v in zip(ends, y, strict=False)]
+    got = {(r["cik"], r["origin"], r["horizon"]): r["damped"] for r in forecast.damped_baseline(spark.createDataFrame(rows, "cik long, end date, val double")).collect()}
+    want = {(c, ends[k - 1], h + 1): v for c, y in series.items() if len(y) >= 14 for k in range(8, len(y) + 1) for h, v in enumerate(refit(y[:k], forecast.GRID))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_review_interval_is_near_the_plain_bootstrap_and_stable(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    values = np.round(rng.normal(0.1, 0.5, 400), 1)
+    rows = [(1, f"r{i}", float(v), dt.date(2020, 2, 1 + i % 28)) for i, v in enumerate(values)] + [(2, "x", 0.5, dt.date(2020, 5, 1)), (2, "y", None, dt.date(2020, 5, 1))]
+    from keelson.operators import reviews
+    df = spark.createDataFrame(rows, "cik long, review_id string, polarity double, date_review date")
+    got = {r["cik"]: (r["ci90_low"], r["ci90_high"]) for r in reviews.bootstrap_interval(df).collect()}
+    means = rng.choice(values, (4000, len(values))).mean(axis=1)
+    assert got[1] == pytest.approx(tuple(np.quantile(means, [0.05, 0.95])), abs=0.012) and got[2] == (0.5, 0.5)
+    monkey = reviews.PART_VALUES
+    try:
+        reviews.PART_VALUES = 5                                   # several parts of a quarter
+        again = {r["cik"]: (r["ci90_low"], r["ci90_high"]) for r in reviews.bootstrap_interval(df.repartition(7)).collect()}
+    finally:
+        reviews.PART_VALUES = monkey
+    assert again[1] == pytest.approx(got[1])
