@@ -192,11 +192,28 @@ def event_penalty(base: DataFrame, load: DataFrame) -> DataFrame:
                     "cap"))
 
 
-def events_factor(penalty: DataFrame) -> DataFrame:
+def contributing_events(load: DataFrame) -> DataFrame:
+    """Events with a penalty, their decayed penalty and their rank in the company, the largest first."""
+    order = W.partitionBy("cik", "as_of").orderBy(F.desc("decayed_penalty"), F.desc("date"), "label", "accn")
+    return (load.where(F.col("penalty") > 0).withColumn("decayed_penalty", F.bround(F.col("penalty") * F.col("decay"), 2))
+            .withColumn("rank", F.row_number().over(order)))
+
+
+def event_notes(contributing: DataFrame, first: int = 4) -> DataFrame:
+    """(cik, as_of, note): what the largest events of a company took off."""
+    entry = F.concat("label", F.lit(" ("), F.col("date").cast("string"), F.lit("): -"), F.format_string("%.1f", "decayed_penalty"))
+    return (contributing.where(F.col("rank") <= first).groupBy("cik", "as_of").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("text")))).alias("n"))
+            .select("cik", "as_of", F.array_join(F.transform("n", lambda x: x["text"]), "; ").alias("note")))
+
+
+def events_factor(penalty: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """The penalty factor; its note names the largest events (from `event_notes`)."""
+    if notes is not None:
+        penalty = penalty.join(notes.withColumnRenamed("note", "largest"), ["cik", "as_of"], "left")
     return _emit(penalty, "events", [
         {"key": "material_events", "label": "Material-event penalty (12 months, decayed)", "weight": 1.0,
          "value": F.bround("total", 2), "score": F.bround(clip(100 - F.col("total"), 0.0, 100.0), 2), "kind": "Rule",
-         "note": F.when(F.col("events") == 0, "no material adverse events in the last 12 months")}])
+         "note": F.when(F.col("events") == 0, "no material adverse events in the last 12 months").otherwise(F.col("largest") if notes is not None else F.lit(None).cast("string"))}])
 
 
 def units(x: Column, places: int) -> Column:

@@ -108,14 +108,14 @@ def facts_store(spark, sf):
 # ------------------------------------------------------------------ prices, reviews, headlines, labelled text
 @query("prices_from_csv", "SELECT ticker, bar, open, high, low, close, volume FROM prices_p")
 def prices_csv(spark, sf):
+    """One TICKER.csv a ticker, with blanks in its header, read back with the ticker of its name."""
     path = scratch(spark)
     b = pm.bars(spark, sf).withColumnRenamed("bar", "date")
     for t in pm.TICKERS:
-        out = b.where(F.col("ticker") == t).drop("ticker").toDF(*[f" {c.title()} " for c in ("date", "open", "high", "low", "close", "volume")])
-        out.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/ticker={t}")
-    df = sser.read_prices(spark, f"{path}/*")
-    return df.drop("ticker").join(pm.bars(spark, sf).select("ticker", "bar", "open", "high", "low", "close", "volume"), ["bar", "open", "high", "low", "close", "volume"]).select(
-        "ticker", "bar", "open", "high", "low", "close", "volume").distinct()
+        out = b.where(F.col("ticker") == t).drop("ticker").select("date", "open", "high", "low", "close", "volume").toDF(
+            *[f" {c.title()} " for c in ("date", "open", "high", "low", "close", "volume")])
+        out.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{t}.csv")
+    return sser.read_prices(spark, path)
 
 
 @query("reviews_from_csv", "SELECT firm, date_review, overall_rating, md5(cons) AS digest FROM reviews_p WHERE firm IN ('src1', 'src2', 'src3') AND review_id % 11 <> 0")
@@ -153,7 +153,10 @@ def volume_json(spark, sf):
 def labelled_lines(spark, sf):
     d = views.table(spark, sf, "documents")
     lab = F.when(F.col("doc_id") % 3 == 0, "negative").when(F.col("doc_id") % 3 == 1, "positive").otherwise("neutral")
-    return sser.split_labelled_lines(d.select(F.concat("lang", F.lit(" @ "), "source", F.lit("@"), lab).alias("value")))
+    path = scratch(spark)
+    lines = d.select(F.concat("lang", F.lit(" @ "), "source", F.lit("@"), lab).alias("value"))
+    lines.write.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").csv(path)
+    return sser.read_labelled_lines(spark, path)
 
 
 @query("labelled_csv_codes", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN 2 THEN 'neutral' END AS label FROM documents")
@@ -178,13 +181,13 @@ def input_manifest_hash(spark, sf):
     return sman.manifest_hash(sman.manifest(spark, sf, "*.parquet"))
 
 
-@query("partitioned_rewrite", "SELECT filed AS as_of, count(*) AS n FROM filings_p WHERE filed BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' GROUP BY filed")
+@query("partitioned_rewrite", "SELECT filed AS as_of, CASE WHEN month(filed) = 6 THEN -count(*) ELSE count(*) END AS n FROM filings_p GROUP BY filed")
 def partitioned_rewrite(spark, sf):
-    """A date-partitioned table written twice: the second write replaces only its own dates."""
+    """Filings per day in a table partitioned by month, then written again for each June with other values: only these months change."""
     path = scratch(spark)
-    per_day = (views.filings(spark, sf).where(F.year("filed") == 1999).groupBy(F.trunc("filed", "month").alias("month"), F.col("filed").alias("as_of")).agg(F.count("*").alias("n")))
-    sman.write_partitioned(per_day, path, "month")
-    sman.write_partitioned(per_day.where("month = DATE '1999-06-01'"), path, "month")
+    per_day = views.filings(spark, sf).groupBy(F.trunc("filed", "month").alias("month"), F.col("filed").alias("as_of")).agg(F.count("*").alias("n"))
+    sman.write_partitioned(per_day.repartition("month"), path, "month")
+    sman.write_partitioned(per_day.where("month(month) = 6").withColumn("n", -F.col("n")).repartition("month"), path, "month")
     return spark.read.parquet(path).select("as_of", "n")
 
 

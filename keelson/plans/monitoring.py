@@ -82,6 +82,19 @@ def freshness_report(spark, sf):
     return drift.freshness_report(log(spark, sf))
 
 
+@query("recent_inference_log", """SELECT model, count(*) AS rows, count(DISTINCT company) AS companies, round(sum(prediction), 6) AS predictions FROM log_p
+WHERE logged_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY GROUP BY model""")
+def recent_log(spark, sf):
+    """The log appended twice to its folders of days, halves by user, and the last seven days read back."""
+    from keelson.plans.intake import scratch
+    path = scratch(spark)
+    g = log(spark, sf)
+    for half in (0, 1):
+        drift.append_log(g.where(F.col("company") % 2 == half), path)
+    r = drift.read_log(spark, path, "2024-01-31", 7)
+    return r.groupBy("model").agg(F.count("*").alias("rows"), F.count_distinct("company").alias("companies"), F.round(F.sum("prediction"), 6).alias("predictions"))
+
+
 @query("inference_log_rows", """SELECT event_id, 'k=' || CAST(props->>'$.k' AS INT) || ';n=' || user_id AS features FROM events""")
 def inference_log_rows(spark, sf):
     e = views.table(spark, sf, "events")

@@ -6,6 +6,8 @@ reviews = firm number. Each source is read at its own newest date and carried to
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from keelson.functions import dims, text
@@ -53,24 +55,89 @@ def employee(spark, sf):
                     fx.review_freshness(lit_date(pr.AS_OF), end).alias("freshness"), lit_date().alias("as_of"))
 
 
-def event_rows(spark, sf):
-    return views.events(spark, sf).select("cik", F.col("filed").alias("date"), F.col("event").alias("type"), "label", "source",
-                                          "severity", "penalty", "cap", "accn")
+#: Days from the scoring date to the newest date of the headlines, which are carried back by them.
+NEWS_SHIFT = (dt.date.fromisoformat(pt.AS_OF) - dt.date.fromisoformat(AS_OF)).days
 
 
-def load(spark, sf):
-    return fx.event_load(event_rows(spark, sf), lit_date())
+def news_event_rows(spark, sf):
+    """Merged events of de-duplicated headlines that are known at the scoring date; a filing of the same kind nearby takes their penalty."""
+    known = news.known_news(pt.at_date(news.deduplicate(pt.articles(spark, sf))))
+    found = news.news_events(known).withColumn("date", F.date_sub("date", NEWS_SHIFT))
+    merged = news.merge_events(found, views.events(spark, sf))
+    return merged.select("cik", "date", "type", "label", F.col("origin").alias("source"), "severity", "penalty", F.lit(None).cast("double").alias("cap"),
+                         F.get("evidence", F.lit(0)).alias("accn"))
+
+
+def anomaly_scores(feats):
+    return feats.where(F.col("as_of") == AS_OF).withColumn("statement_anomaly", F.when(F.col("beneish_m") > -1.0, 0.97).otherwise(0.5))
+
 
+def anomaly_event_rows(spark, sf):
+    e = signals.statement_anomaly_events(anomaly_scores(pp.stored_dataset(spark, sf)), views.filings(spark, sf))
+    return e.select("cik", "date", "type", "label", F.lit("financial_anomaly model").alias("source"), "severity", "penalty", "cap", F.lit("ev:statement-anomaly").alias("accn"))
 
+
+def event_rows(spark, sf):
+    """All events of the Events pillar: filings, merged news and the statement anomaly."""
+    filed = views.events(spark, sf).select("cik", F.col("filed").alias("date"), F.col("event").alias("type"), "label", "source",
+                                           "severity", "penalty", "cap", "accn")
+    return filed.unionByName(news_event_rows(spark, sf)).unionByName(anomaly_event_rows(spark, sf))
+
+
+def load(spark, sf):
+    return shared(spark, f"load:{sf}", lambda: materialise(fx.event_load(event_rows(spark, sf), lit_date())))
+
+
+view("scored_news_p", f"""SELECT cik, 'ev:news-' || substr(sha1(coalesce(url, title)), 1, 10) AS evidence, CAST(published_at AS DATE) - {NEWS_SHIFT} AS date, e.type AS type,
+  e.label AS label, 'News (' || domain || ')' AS origin, e.severity AS severity, e.penalty * greatest(0, -polarity) AS penalty, title
+FROM (SELECT k.*, CASE {pt._rules} END AS e FROM known_p k JOIN first_tellings_p USING (article_id)) WHERE e.type IN ({pt._types})""", stored=True)
+view("news_anchors_p", """SELECT cik, type, min(date) AS anchor FROM scored_news_p GROUP BY cik, type
+UNION ALL
+SELECT w.cik, w.type, min(n.date) FROM news_anchors_p w JOIN scored_news_p n ON n.cik = w.cik AND n.type = w.type AND n.date > w.anchor + 7
+GROUP BY w.cik, w.type, w.anchor""", recursive=True)
+view("news_clusters_p", """SELECT c.cik, c.type, c.date, c.first, CASE WHEN EXISTS (SELECT 1 FROM events_p f WHERE f.cik = c.cik
+    AND (f.event = c.type OR (c.type = 'LAYOFFS' AND f.event = 'RESTRUCTURING')) AND abs(date_diff('day', f.filed, c.date)) <= 7) THEN 0 ELSE c.p END AS penalty
+FROM (SELECT cik, type, anchor AS date, arg_min({'label': label, 'origin': origin, 'severity': severity, 'evidence': evidence}, (date, evidence)) AS first, max(penalty) AS p
+  FROM (SELECT n.cik, n.type, n.date, n.evidence, n.label, n.origin, n.severity, n.penalty, max(w.anchor) AS anchor FROM scored_news_p n
+    JOIN news_anchors_p w ON w.cik = n.cik AND w.type = n.type AND w.anchor <= n.date GROUP BY ALL) GROUP BY cik, type, anchor) c""", stored=True)
+view("anomaly_events_p", f"""SELECT s.cik, coalesce(max(f.filed) FILTER (f.filed <= {_D}), {_D}) AS date FROM peers_p s
+LEFT JOIN (SELECT * FROM filings_p WHERE regexp_matches(form, '^10-[KQ]')) f USING (cik) WHERE s.as_of = {_D} AND s.beneish_m > -1 GROUP BY s.cik""")
+view("all_events_p", """SELECT cik, filed AS date, event AS type, label, source, severity, penalty, cap, accn FROM events_p
+UNION ALL SELECT cik, date, type, first.label, first.origin, first.severity, penalty, NULL, first.evidence FROM news_clusters_p
+UNION ALL SELECT cik, date, 'STATEMENT_ANOMALY', 'Unusual year-over-year statement changes (ML)', 'financial_anomaly model', 'MEDIUM', 10.0::DOUBLE, NULL, 'ev:statement-anomaly'
+FROM anomaly_events_p""")
 view("co_market", f"""SELECT c.cik, {_D} AS as_of, m.* EXCLUDE (as_of) FROM companies_p c JOIN market_p m ON m.as_of = DATE '{pm.AS_OF}'
   AND m.ticker = ['click', 'error', 'purchase', 'signup', 'view'][c.cik % 5 + 1]""")
 view("co_news", f"SELECT * REPLACE ({_D} AS as_of) FROM news_stats_p")
 view("co_emp", f"""SELECT cik, {_D} AS as_of, round_even(index, 4) AS index, trend, quarter, greatest(0.2::DOUBLE, least(1.0::DOUBLE,
   1 - 0.2::DOUBLE * greatest(0, date_diff('day', last_day(make_date(CAST(quarter[1:4] AS INT), CAST(quarter[6:6] AS INT) * 3, 1)),
   DATE '{pr.AS_OF}') / 365.25::DOUBLE - 1))) AS freshness FROM trend_p""")
-view("load_p", f"""SELECT cik, {_D} AS as_of, filed AS date, event AS type, label, source, severity, penalty, cap, accn,
-  date_diff('day', filed, {_D}) AS age, exp(-date_diff('day', filed, {_D}) / 180.0::DOUBLE) AS decay FROM events_p
-  WHERE date_diff('day', filed, {_D}) BETWEEN 0 AND 365""")
+view("load_p", f"""SELECT cik, {_D} AS as_of, date, type, label, source, severity, penalty, cap, accn,
+  date_diff('day', date, {_D}) AS age, exp(-date_diff('day', date, {_D}) / 180.0::DOUBLE) AS decay FROM all_events_p
+  WHERE date_diff('day', date, {_D}) BETWEEN 0 AND 365""", stored=True)
+
+
+@query("scored_events", "SELECT cik, date, type, label, source, severity, round(penalty, 6) AS penalty, cap, accn, age FROM load_p")
+def scored_events(spark, sf):
+    """Every event that counts at the scoring date: filings, merged news, statement anomalies."""
+    return load(spark, sf).select("cik", "date", "type", "label", "source", "severity", F.round("penalty", 6).alias("penalty"), "cap", "accn", F.col("age").cast("bigint").alias("age"))
+
+
+view("contributing_p", """SELECT cik, date, label, accn, round_even(penalty * decay, 2) AS decayed_penalty,
+  row_number() OVER (PARTITION BY cik ORDER BY round_even(penalty * decay, 2) DESC, date DESC, label, accn) AS rank FROM load_p WHERE penalty > 0""")
+
+
+@query("contributing_events", "SELECT cik, date, label, accn, decayed_penalty, rank FROM contributing_p")
+def contributing_events(spark, sf):
+    c = fx.contributing_events(load(spark, sf))
+    return c.select("cik", "date", "label", "accn", "decayed_penalty", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("event_notes", """SELECT cik, string_agg(label || ' (' || date || '): -' || printf('%.1f', ((CAST(round(decayed_penalty * 100) AS BIGINT) + 5) // 10) / 10.0), '; ' ORDER BY rank) AS note
+FROM contributing_p WHERE rank <= 4 GROUP BY cik""")
+def event_notes(spark, sf):
+    return fx.event_notes(fx.contributing_events(load(spark, sf))).select("cik", "note")
+
 
 # ------------------------------------------------------------------ factors
 _cap = lambda n: f"least(coalesce(raw, {n}), {n})"
@@ -183,7 +250,8 @@ def build_scores(spark, sf):
     stats, emp, pen = company_news(spark, sf), employee(spark, sf), penalty(spark, sf)
     ld = load(spark, sf)
     facs = (fx.financial_factors(now, pp.stored_tables(spark, sf)).unionByName(fx.market_factors(company_market(spark, sf)))
-            .unionByName(fx.news_factors(stats)).unionByName(fx.workforce_factors(emp, ld)).unionByName(fx.events_factor(pen)))
+            .unionByName(fx.news_factors(stats)).unionByName(fx.workforce_factors(emp, ld))
+            .unionByName(fx.events_factor(pen, fx.event_notes(fx.contributing_events(ld)))))
     base = views.companies(spark, sf).select("cik", lit_date().alias("as_of"))
     facs = materialise(facs)
     fresh = (base.join(now.select("cik", "period_end"), "cik", "left").join(stats.select("cik", "articles"), "cik", "left")
@@ -280,7 +348,7 @@ def pillar_matrix(spark, sf):
 # ------------------------------------------------------------------ signals
 def signal_inputs(spark, sf, feats):
     """Feature row of each company at the scoring date with market, news and model readings attached."""
-    now = feats.where(F.col("as_of") == AS_OF)
+    now = feats.where(F.col("as_of") == AS_OF).join(views.companies(spark, sf).select("cik", F.col("financial").alias("is_financial")), "cik")
     mk = company_market(spark, sf).select("cik", "ticker", "drawdown_52w")
     flagged = (market.max_abs_z(market.robust_z(pm.bars(spark, sf))).where("flagged")
                .where(F.datediff(lit_date(pm.AS_OF), F.to_date("bar")).between(0, 14)).select("ticker").distinct()
@@ -289,20 +357,16 @@ def signal_inputs(spark, sf, feats):
     prob = 1 / (1 + F.exp(F.col("altman_z2")))
     return (now.join(mk, "cik", "left").join(flagged, "ticker", "left").join(shock, "cik", "left")
             .withColumn("statement_anomaly", F.when(F.col("beneish_m") > -1.0, 0.97).otherwise(0.5))
-            .withColumn("distress_probability", F.when(~dims_financial(), prob))
+            .withColumn("distress_probability", F.when(~F.col("is_financial"), prob))
             .withColumn("distress_band", fx.risk_band(F.col("distress_probability"))))
 
 
-def dims_financial():
-    return F.col("sector").isin("Financials", "Real Estate")
-
-
 view("sig_in", f"""SELECT p.*, m.drawdown_52w, CASE WHEN m.ticker IN (SELECT ticker FROM maxz_p WHERE max_z >= 5 AND
     date_diff('day', CAST(bar AS DATE), DATE '{pm.AS_OF}') BETWEEN 0 AND 14) THEN 1.0 END AS market_anomaly_max,
   coalesce(s.days >= 20 AND s.base_days >= 10 AND s.n7 >= 5 AND s.last7 < s.base_mean - 2 * s.base_std, false) AS sentiment_shock,
   CASE WHEN beneish_m > -1 THEN 0.97 ELSE 0.5 END AS statement_anomaly,
-  CASE WHEN sector NOT IN ('Financials', 'Real Estate') THEN 1 / (1 + exp(altman_z2)) END AS distress_probability
-FROM peers_p p LEFT JOIN co_market m USING (cik) LEFT JOIN shock_p s USING (cik) WHERE p.as_of = {_D}""")
+  CASE WHEN NOT c.financial THEN 1 / (1 + exp(altman_z2)) END AS distress_probability
+FROM peers_p p JOIN (SELECT cik, financial FROM companies_s) c USING (cik) LEFT JOIN co_market m USING (cik) LEFT JOIN shock_p s USING (cik) WHERE p.as_of = {_D}""")
 _ev_rules = " UNION ALL ".join(f"SELECT cik, '{c}' AS code, '{s}' AS severity, max(date) AS date FROM load_p WHERE type IN ({', '.join(repr(t) for t in types)}) "
                                f"AND age <= {d} GROUP BY cik" for c, types, d, s, _ in signals.EVENT_RULES)
 _val = [("NOT bank AND altman_z2 < 1.1::DOUBLE", "ALTMAN_DISTRESS", "'HIGH'"), ("current_ratio < 1 AND neg_fcf_quarters >= 2", "LIQUIDITY_SQUEEZE", "'HIGH'"),
@@ -339,9 +403,7 @@ def warning_signals(spark, sf):
 @query("statement_anomaly_events", f"""SELECT s.cik, coalesce(max(f.filed) FILTER (f.filed <= {_D}), {_D}) AS date, 'STATEMENT_ANOMALY' AS type, 10.0::DOUBLE AS penalty
 FROM sig_in s LEFT JOIN (SELECT * FROM filings_p WHERE regexp_matches(form, '^10-[KQ]')) f USING (cik) WHERE s.statement_anomaly >= 0.95 GROUP BY s.cik""")
 def statement_anomaly_events(spark, sf):
-    feats = pp.stored_dataset(spark, sf).where(F.col("as_of") == AS_OF)
-    scores = feats.withColumn("statement_anomaly", F.when(F.col("beneish_m") > -1.0, 0.97).otherwise(0.5))
-    return signals.statement_anomaly_events(scores, views.filings(spark, sf)).select("cik", "date", "type", "penalty")
+    return signals.statement_anomaly_events(anomaly_scores(pp.stored_dataset(spark, sf)), views.filings(spark, sf)).select("cik", "date", "type", "penalty")
 
 
 # ------------------------------------------------------------------ score history at filing dates

@@ -74,14 +74,15 @@ view("story_queue_p", """SELECT u.cik, u.article_id, row_number() OVER (PARTITIO
 FROM unique_p u LEFT JOIN (SELECT later, list(earlier) AS earlier FROM story_pairs_p GROUP BY later) p ON p.later = u.article_id""")
 
 
-@query("deduplicated_headlines", """WITH RECURSIVE queue AS (SELECT * FROM story_queue_p),
-told AS (
-  SELECT cik, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT cik FROM queue)
-  UNION ALL
-  SELECT t.cik, q.k, CASE WHEN q.earlier IS NULL OR NOT list_has_any(t.kept, q.earlier) THEN list_append(t.kept, q.article_id) ELSE t.kept END
-  FROM told t JOIN queue q ON q.cik = t.cik AND q.k = t.k + 1)
-SELECT a.cik, a.article_id, a.title, a.published_at FROM (SELECT cik, unnest(kept) AS article_id
-  FROM (SELECT cik, kept FROM told QUALIFY row_number() OVER (PARTITION BY cik ORDER BY k DESC) = 1)) x JOIN articles_p a USING (cik, article_id)""")
+view("told_p", """SELECT cik, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT cik FROM story_queue_p)
+UNION ALL
+SELECT t.cik, q.k, CASE WHEN q.earlier IS NULL OR NOT list_has_any(t.kept, q.earlier) THEN list_append(t.kept, q.article_id) ELSE t.kept END
+FROM told_p t JOIN story_queue_p q ON q.cik = t.cik AND q.k = t.k + 1""", recursive=True)
+view("first_tellings_p", """SELECT unnest(kept) AS article_id FROM (SELECT cik, kept FROM told_p QUALIFY row_number() OVER (PARTITION BY cik ORDER BY k DESC) = 1)""",
+     stored=True)
+
+
+@query("deduplicated_headlines", "SELECT a.cik, a.article_id, a.title, a.published_at FROM first_tellings_p x JOIN articles_p a USING (article_id)")
 def deduplicated(spark, sf):
     return news.deduplicate(articles(spark, sf)).select("cik", "article_id", "title", "published_at")
 

@@ -13,17 +13,18 @@ REVIEW_SCHEMA = ("firm string, date_review string, job_title string, current str
 
 
 def read_prices(spark: SparkSession, path: str, kind: str = "daily") -> DataFrame:
-    """TICKER.csv (daily) or TICKER_weekly.csv; headers are trimmed and lowered. Weekly `close` is the adjusted close and the
-    reported one is kept as raw_close."""
-    df = spark.read.option("header", True).option("pathGlobFilter", "*_weekly.csv" if kind == "weekly" else "*.csv").csv(path)
-    name = F.col("_metadata.file_name")
-    df = df.select("*", F.regexp_replace(name, r"(_weekly)?\.csv$", "").alias("ticker"), name.alias("_file"))
+    """TICKER.csv (daily) or TICKER_weekly.csv in the folder `path`, each a file or a folder of parts; headers are trimmed and lowered.
+    Weekly `close` is the adjusted close and the reported one is kept as raw_close."""
+    weekly = kind == "weekly"
+    df = spark.read.option("header", True).csv(f"{path}/*_weekly.csv" if weekly else f"{path}/*.csv")
+    df = df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(/[^/]*)?$", 1).alias("_name"))
     df = df.toDF(*[c.strip().lower() for c in df.columns])
-    if kind != "weekly":
-        df = df.where(~F.col("_file").endswith("_weekly.csv"))
+    if not weekly:
+        df = df.where(~F.col("_name").endswith("_weekly"))
+    df = df.withColumn("ticker", F.url_decode(F.regexp_replace("_name", "_weekly$", "")))
     number = lambda c: F.col(c).try_cast("double").alias(c)
     day = F.try_to_timestamp("date").alias("bar")
-    if kind != "weekly":
+    if not weekly:
         return df.select("ticker", day, *[number(c) for c in PRICE_COLUMNS])
     return df.select("ticker", day, *[number(c) for c in ("open", "high", "low", "volume")],
                      F.col("close").try_cast("double").alias("raw_close"), F.col("adjusted_close").try_cast("double").alias("close"))
