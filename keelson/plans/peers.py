@@ -70,6 +70,12 @@ def peer_quantile_tables(spark, sf):
         at(100).alias("q100"))
 
 
+@query("peer_tables_of_fifteen", """SELECT as_of, "group", feature, n, quantiles[51] AS q50 FROM peer_tables_p WHERE n >= 15""")
+def peer_tables_of_fifteen(spark, sf):
+    """Tables with the least group size that scoring asks for by default."""
+    return peers.peer_tables(stored_dataset(spark, sf)).select("as_of", "group", "feature", "n", F.get("quantiles", F.lit(50)).alias("q50"))
+
+
 @query("peer_table_choice", f"""SELECT f.accn, f.filed AS as_of, coalesce(max(d) FILTER (d <= f.filed), min(d)) AS table_date,
   max(d) FILTER (d <= f.filed) AS table_date_pit
 FROM filings_p f CROSS JOIN (VALUES {', '.join(f"(DATE '{d}')" for d in DATES)}) AS t(d) GROUP BY f.accn, f.filed""")
