@@ -101,7 +101,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, chunk: int = 1 << 20,
+def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, chunk: int = 1 << 18,
                 second: np.ndarray | None = None, total: int = WIDE_TOTAL, compared: list[int] | None = None) -> np.ndarray:
     """For each entry the number of the first entry of its group, links being within buckets only.
 
@@ -145,6 +145,10 @@ def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, c
     stack = [(len(levels) - 1, np.arange(len(levels[-1]["bucket"])), np.arange(len(levels[-1]["bucket"])))]
     while stack:
         k, a, b = stack.pop()
+        step = chunk // (FAN * FAN) if k else chunk
+        if len(a) > step:                                         # one part at a time goes down, so little waits at each level
+            stack.append((k, a[step:], b[step:]))
+            a, b = a[:step], b[:step]
         lev = levels[k]
         if compared is not None:
             compared.append(len(a))
@@ -166,34 +170,55 @@ def local_links(bucket: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, c
             continue
         below = levels[k - 1]
         wa, wb = lev["end"][a] - lev["start"][a], lev["end"][b] - lev["start"][b]
-        step = max(1, chunk // (FAN * FAN))
-        for i in range(0, len(a), step):
-            s = slice(i, i + step)
-            count = wa[s] * wb[s]
-            if not count.sum():
-                continue
-            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            width = np.repeat(wb[s], count)
-            x, y = np.repeat(lev["start"][a[s]], count) + nth // width, np.repeat(lev["start"][b[s]], count) + nth % width
-            keep = x <= y if k > 1 else x < y
-            x, y = x[keep], y[keep]
-            if k == 1:                                            # entries already in one group need no test
-                differ = top(below["first"][x]) != top(below["first"][y])
-                x, y = x[differ], y[differ]
-            stack.append((k - 1, x, y))
+        count = wa * wb
+        if not count.sum():
+            continue
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        width = np.repeat(wb, count)
+        x, y = np.repeat(lev["start"][a], count) + nth // width, np.repeat(lev["start"][b], count) + nth % width
+        keep = x <= y if k > 1 else x < y
+        x, y = x[keep], y[keep]
+        if k == 1:                                                # entries already in one group need no test
+            differ = top(below["first"][x]) != top(below["first"][y])
+            x, y = x[differ], y[differ]
+        stack.append((k - 1, x, y))
     return top(np.arange(n))
 
 
-def odd_pairs(label: np.ndarray, fps: np.ndarray, second: np.ndarray, odd: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of an odd entry and any entry of its bucket that are close in one and both words."""
-    one, two = [], []
-    for i in np.flatnonzero(odd):
-        low, high = np.searchsorted(label, label[i], "left"), np.searchsorted(label, label[i], "right")
-        apart = np.bitwise_count(fps[low:high] ^ fps[i]).astype(np.int64)
-        near = low + np.flatnonzero((apart <= distance) & (apart + np.bitwise_count(second[low:high] ^ second[i]) <= total))
-        one.append(near[near != i])
-        two.append(np.full(len(one[-1]), i))
-    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
+def leaders(group: np.ndarray, fps: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each entry the leader of its group: the member whose words are nearest to the majority of the group's bits (ties: the first).
+
+    Copies that were each changed apart from one text are nearer to it than to each other; it, or one close to it, leads.
+    """
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    apart = np.zeros(len(group), dtype=np.int64)
+    for words in (fps, second):
+        bits = np.unpackbits(np.ascontiguousarray(words[order]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > sizes[:, None]
+        centre = np.packbits(most, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        apart += np.bitwise_count(words[order] ^ np.repeat(centre, sizes))
+    best = np.lexsort((order, apart, np.repeat(np.arange(len(starts)), sizes)))
+    out = np.empty(len(group), dtype=np.int64)
+    out[order] = np.repeat(order[best[starts]], sizes)
+    return out
+
+
+def close_to(i: int, label: np.ndarray, fps: np.ndarray, second: np.ndarray, group: np.ndarray, distance: int, total: int) -> np.ndarray:
+    """Entries of the bucket of i that are of another group and close to it in one and both words."""
+    low, high = np.searchsorted(label, label[i], "left"), np.searchsorted(label, label[i], "right")
+    apart = np.bitwise_count(fps[low:high] ^ fps[i]).astype(np.int64)
+    return low + np.flatnonzero((apart <= distance) & (apart + np.bitwise_count(second[low:high] ^ second[i]) <= total) & (group[low:high] != group[i]))
+
+
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted sets `others` (not empty) have a Jaccard similarity of SIMILARITY or more to the sorted set `one`."""
+    sizes = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    common = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return common >= SIMILARITY * (len(one) + sizes - common)
 
 
 def choices(blocks: int = BLOCKS, agree: int = 1) -> list[int]:
@@ -203,69 +228,111 @@ def choices(blocks: int = BLOCKS, agree: int = 1) -> list[int]:
     return [sum(c) for c in itertools.combinations(masks, agree)]
 
 
-def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False, odd: bool = False) -> DataFrame:
-    """(a, b): links that connect all entries (column _fp, distinct) within `distance` bits that agree on a block, directly or through others.
-
-    If `wide`, links also need at most WIDE_TOTAL differing bits in _fp and _fp2 together. If `odd`, these are all such pairs of which one has
-    `odd` set, instead of links that connect.
-    """
-    masks = choices(blocks)
-    second = (["_fp2"] if wide else []) + (["odd"] if odd else [])
-    dealt = entries.select("_fp", *second, F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("c", "m"))
-    dealt = dealt.select("c", F.col("_fp").bitwiseAND(F.col("m")).alias("bits"), "_fp", *second)
+def dealt(entries: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+    """(c, bits, _fp, `columns`): entries in the buckets of their blocks, each bucket whole in a partition and in Gray order."""
+    rows = entries.select("_fp", *columns, F.posexplode(F.array(*[F.lit(signed(m)) for m in choices(blocks)])).alias("c", "m"))
+    rows = rows.select("c", F.col("_fp").bitwiseAND(F.col("m")).alias("bits"), "_fp", *columns)
     gray = F.col("_fp")
     for s in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
     # sorting compares signed longs; flipping the top bit gives the unsigned order of ranks
-    rows = dealt.repartition("c", "bits").withColumn("rank", gray.bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions("c", "bits", "rank").drop("rank")
+    return rows.repartition("c", "bits").withColumn("rank", gray.bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions("c", "bits", "rank").drop("rank")
+
+
+def by_buckets(batches: Iterator[pa.RecordBatch], columns: list[str], least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Labels of the buckets, then _fp and `columns`, of whole buckets with `least` rows or more together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "bits", "_fp", *columns)))
+        if held and (batch is None or sum(len(h[0]) for h in held) >= least):
+            own = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            c, bits = own[:2]
+            upto = len(c)
+            if batch is not None:                                 # the last bucket may go on in the next batch
+                upto = int(np.flatnonzero((c == c[-1]) & (bits == bits[-1]))[0])
+            held = [tuple(x[upto:] for x in own)]
+            if upto:
+                label = np.cumsum(np.r_[True, (c[1:upto] != c[:upto - 1]) | (bits[1:upto] != bits[:upto - 1])])
+                yield label, c[:upto], *(x[:upto] for x in own[2:])
+
+
+def fp_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, wide: bool = False) -> DataFrame:
+    """(a, b): links that connect all entries (column _fp, distinct) within `distance` bits that agree on a block, directly or through others.
+
+    If `wide`, links also need at most WIDE_TOTAL differing bits in _fp and _fp2 together, and a is the leader of its group.
+    """
+    columns = ["_fp2"] if wide else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(upto: int, c, bits, fps, *more):
-            if not upto:
-                return None
-            label = np.cumsum(np.r_[True, (c[1:upto] != c[:upto - 1]) | (bits[1:upto] != bits[:upto - 1])])
-            own = fps[:upto]
-            if odd:
-                one, two = odd_pairs(label, own.view(np.uint64), more[0][:upto].view(np.uint64), more[1][:upto], distance, WIDE_TOTAL)
-                return pa.RecordBatch.from_pydict({"a": pa.array(own[one], pa.int64()), "b": pa.array(own[two], pa.int64())}) if len(one) else None
-            group = local_links(label, own.view(np.uint64), distance, second=more[0][:upto].view(np.uint64) if more else None)
-            tied = np.flatnonzero(group != np.arange(upto))
-            return pa.RecordBatch.from_pydict({"a": pa.array(own[group[tied]], pa.int64()), "b": pa.array(own[tied], pa.int64())}) if len(tied) else None
-
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "bits", "_fp", *second)))
-            if held and (batch is None or sum(len(h[0]) for h in held) >= 100_000):
-                columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                c, bits = columns[:2]
-                last = len(c)
-                if batch is not None:                             # the last bucket may go on in the next batch
-                    last = int(np.flatnonzero((c == c[-1]) & (bits == bits[-1]))[0])
-                out = flush(last, *columns)
-                held = [tuple(x[last:] for x in columns)]
-                if out is not None:
-                    yield out
-
-    return rows.mapInArrow(run, "a long, b long")
+        for label, _, own, *more in by_buckets(batches, columns, 100_000):
+            second = more[0].view(np.uint64) if more else None
+            group = local_links(label, own.view(np.uint64), distance, second=second)
+            if second is not None:
+                group = leaders(group, own.view(np.uint64), second)
+            tied = np.flatnonzero(group != np.arange(len(own)))
+            yield fp_pairs(own[group[tied]], own[tied])
+
+    return dealt(entries, columns, blocks).mapInArrow(run, "a long, b long")
+
+
+def odd_candidates(flagged: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(_fp): odd entries of `flagged` (_fp, _fp2, odd, g) that have a candidate in another group, and these candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for label, _, own, second, odd, group in by_buckets(batches, ["_fp2", "odd", "g"], 100_000):
+            seen = np.zeros(len(own), dtype=bool)
+            for i in np.flatnonzero(odd):
+                near = close_to(i, label, own.view(np.uint64), second.view(np.uint64), group, distance, WIDE_TOTAL)
+                seen[near] = True
+                seen[i] |= len(near) > 0
+            yield pa.RecordBatch.from_pydict({"_fp": pa.array(own[seen], pa.int64())})
+
+    return dealt(flagged, ["_fp2", "odd", "g"], blocks).mapInArrow(run, "_fp long").distinct()
+
+
+def odd_links(flagged: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(a, b): confirmed links of odd entries with candidates of other groups; `flagged` has their shingles (h), which are compared in the bucket."""
+    masks = [np.uint64(m) for m in choices(blocks)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for label, c, own, second, odd, group, h in by_buckets(batches, ["_fp2", "odd", "g", "h"], 4000):
+            fps, full = own.view(np.uint64), np.array([len(x) > 0 for x in h])
+            for i in np.flatnonzero(odd & full):
+                near = close_to(i, label, fps, second.view(np.uint64), group, distance, WIDE_TOTAL)
+                near = near[full[near] & ~(odd[near] & (near < i))]           # of two odd ones, the first
+                for m in masks[:c[i]]:                                        # once, in the first block on which they agree
+                    near = near[((fps[near] ^ fps[i]) & m) != 0]
+                if len(near):
+                    near = near[similar(h[i], [h[j] for j in near])]
+                    yield fp_pairs(np.full(len(near), own[i]), own[near])
+
+    return dealt(flagged, ["_fp2", "odd", "g", "h"], blocks).mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(texts: list) -> list[list]:
     return [[np.unique(shingle_hashes(t, SHINGLE)).view(np.int64).tolist() for t in texts]]
 
 
-def confirmed(pairs: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts have a Jaccard similarity of SIMILARITY or more over shingles of SHINGLE words.
-
-    marked: (_id, _fp); rows: (key, text). Each fingerprint stands for the text of its smallest id.
-    """
-    wanted = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
+def sets_of(wanted: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(want, h): sorted shingle hashes of the fingerprints `wanted` (_fp), each standing for the text of its smallest id."""
     first = materialise(marked.join(wanted, "_fp", "left_semi").groupBy("_fp").agg(F.min("_id").alias("_id")).withColumnRenamed("_fp", "want"))
     side = F.broadcast(first) if first.count() * 32 <= BROADCAST_BYTES else first
     texts = with_fingerprints(rows.join(side, F.col("key").eqNullSafe(F.col("_id"))).select("want", "text"), "text", SHINGLE).where("_fp = want")
     out = T.StructType([T.StructField("h", T.ArrayType(T.LongType()))])
-    sets = materialise(add_columns(texts.groupBy("want").agg(F.min("text").alias("text")), "text", out, lambda: shingle_sets).select("want", "h"))
+    return materialise(add_columns(texts.groupBy("want").agg(F.min("text").alias("text")), "text", out, lambda: shingle_sets).select("want", "h"))
+
+
+def confirmed(pairs: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts have a Jaccard similarity of SIMILARITY or more over shingles of SHINGLE words.
+
+    marked: (_id, _fp); rows: (key, text).
+    """
+    sets = sets_of(pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct(), marked, rows)
     both = (pairs.join(sets.select(F.col("want").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("want").alias("b"), F.col("h").alias("y")), "b"))
     x, y = F.size("x"), F.size("y")
     possible = F.least(x, y) >= SIMILARITY * F.greatest(x, y)
@@ -276,17 +343,18 @@ def confirmed(pairs: DataFrame, marked: DataFrame, rows: DataFrame) -> DataFrame
 def near_copies(marked: DataFrame, rows: DataFrame, distance: int, blocks: int) -> DataFrame:
     """(a, b): links of fingerprints, all confirmed on the texts, that connect the near copies among the index's candidates.
 
-    The index gives links that connect its groups. Where one of them fails on the texts, its entry meets all its candidates instead.
+    The index gives links from the leader of each of its groups. Where one of them fails on the texts, its entry meets all its candidates that
+    the confirmed links have not yet brought into its group; their shingles are compared inside the bucket.
     """
     entries = materialise(marked.select("_fp", "_fp2").distinct())
     stars = materialise(links(entries, distance, blocks, True).where("a != b").distinct())
     good = confirmed(stars, marked, rows)
     odd = materialise(stars.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("_fp")).distinct().withColumn("odd", F.lit(True)))
-    flagged = entries.join(odd, "_fp", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
-    more = links(flagged, distance, blocks, True, True).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(more.join(tried, ["a", "b"], "left_anti"))
-    return good.union(confirmed(more, marked, rows))
+    groups = components(good).select(F.col("node").alias("_fp"), F.col("component").alias("g"))
+    flagged = materialise(entries.join(odd, "_fp", "left").join(groups, "_fp", "left").withColumns({"odd": F.coalesce("odd", F.lit(False)), "g": F.coalesce("g", "_fp")}))
+    sets = sets_of(materialise(odd_candidates(flagged, distance, blocks)), marked, rows)
+    more = odd_links(flagged.join(sets.withColumnRenamed("want", "_fp"), "_fp"), distance, blocks)
+    return good.union(materialise(more.distinct()))
 
 
 def classes(marked: DataFrame, key: str = "doc_id", distance: int = DISTANCE, blocks: int = BLOCKS, edges: DataFrame | None = None) -> DataFrame:
