@@ -72,8 +72,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents marked quality 1 and not toxic; background: all documents."""
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    symbols, losses = entropy.fit(docs, good)
-    return entropy.score(docs, symbols, losses).drop("text")
+    return entropy.score(docs, good).drop("text")
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

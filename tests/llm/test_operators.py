@@ -1,7 +1,9 @@
 """Operators without SQL against brute force, exact round trips, library counts or held-out accuracy, and their defined cases."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -288,13 +290,47 @@ def test_leaks_of_items_full_of_slots_and_of_short_items(spark):
 
 
 # ------------------------------------------------------------------ 10 language models
-def test_entropy_losses_are_distributions_and_tell_corpora_apart(spark):
-    rows = [(i, ("abab " * 20) if i % 2 else ("cdcd " * 20)) for i in range(40)] + [(100, None), (101, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    symbols, table = entropy.fit(docs, docs.where("doc_id % 2 = 1 and doc_id < 40").select("doc_id"))
-    assert np.allclose(np.exp(-table.astype(np.float64)).reshape(2, -1, entropy.SYMBOLS).sum(axis=2), 1, atol=1e-4)
-    got = {r["doc_id"]: r["score"] for r in entropy.score(docs, symbols, table).collect()}
-    assert got[1] > 0 > got[2] and got[100] == got[101] == 0
+def brute_entropy(rows):
+    """score by doc_id of (doc_id, text, target) rows, term by term."""
+    read = [(i, ["<>", *t.lower().split(), "<>"] if t and t.split() else [], m) for i, t, m in rows]
+    words = {w for _, s, _ in read for w in s}
+    out = {}
+    for which in (True, False):
+        one, two = Counter(), Counter()
+        for _, s, m in read:
+            if m or not which:
+                one.update(s[1:])
+                two.update(zip(s, s[1:]))
+        total, prior = sum(one.values()), entropy.STRENGTH / len(words)
+        for i, s, _ in read:
+            loss = sum(-math.log((one[w] + prior) / (total + entropy.STRENGTH)) - math.log((two[v, w] + prior) / (one[v] + entropy.STRENGTH))
+                       for v, w in zip(s, s[1:])) / 2
+            out.setdefault(i, []).append(loss / (len(s) - 1) if s else 0.0)
+    return out
+
+
+def test_entropy_equals_brute_force(spark, monkeypatch):
+    """Any script, copies over many folds and ranges, one text with a third of all rows, clashing names."""
+    monkeypatch.setattr(entropy, "RANGE_TOKENS", 60)
+    monkeypatch.setattr(entropy, "BATCH_CHARS", 300)
+    rng = random.Random(3)
+    scripts = ["abcdefgh", "\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d"]
+    texts = [" ".join("".join(rng.choices(s, k=2)) for _ in range(rng.randint(1, 30))) for s in scripts for _ in range(20)]
+    texts += [texts[3]] * 30 + [None, "", " \n ", "long " * 5000]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, f"c{i}", 1) for i, t, _ in rows], "doc_id long, text string, _key_of_text string, score int").repartition(5)
+    got = {r["doc_id"]: r for r in entropy.score(docs, docs.where("doc_id % 3 = 0")).collect()}
+    for i, (target, background) in brute_entropy(rows).items():
+        assert abs(got[i]["loss_target"] - target) < 3e-6 and abs(got[i]["loss_background"] - background) < 3e-6
+        assert got[i]["tokens"] == len((texts[i] or "").split()) and got[i]["_key_of_text"] == f"c{i}"
+    assert len(got) == len(rows) and entropy.score(docs.limit(0), docs).count() == 0
+
+
+def test_entropy_tells_scripts_apart(spark):
+    words = ["\u03bd\u03b1\u03b9 \u03bf\u03c7\u03b9", "\u0434\u0430 \u043d\u0435\u0442", "yes no"]
+    docs = spark.createDataFrame([(i, (words[i % 3] + " ") * (5 + i % 4)) for i in range(60)] + [(100, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in entropy.score(docs, docs.where("doc_id % 3 = 0 and doc_id < 30").select("doc_id")).collect()}
+    assert all((got[i] > 0) == (i % 3 == 0) for i in range(60)) and got[100] == 0
 
 
 def brute_near(rows, shingle=5):
