@@ -309,8 +309,10 @@ def brute_entropy(rows):
     return out
 
 
-def test_entropy_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [entropy.BROADCAST_BYTES, 0])
+def test_entropy_equals_brute_force(spark, monkeypatch, limit):
     """Any script, copies over many folds and ranges, one text with a third of all rows, clashing names."""
+    monkeypatch.setattr(entropy, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(entropy, "RANGE_TOKENS", 60)
     monkeypatch.setattr(entropy, "BATCH_CHARS", 300)
     rng = random.Random(3)
