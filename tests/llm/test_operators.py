@@ -315,6 +315,7 @@ def test_entropy_equals_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(entropy, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(entropy, "RANGE_TOKENS", 60)
     monkeypatch.setattr(entropy, "BATCH_CHARS", 300)
+    monkeypatch.setattr(entropy, "BLOCK_TEXTS", 9)
     rng = random.Random(3)
     scripts = ["abcdefgh", "\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d"]
     texts = [" ".join("".join(rng.choices(s, k=2)) for _ in range(rng.randint(1, 30))) for s in scripts for _ in range(20)]
